@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, langid, packing, rules
+from . import bagminhash, dac, langid, packing, rules
 from .base import table
 
 
@@ -16,6 +16,10 @@ def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", langid.held_out())
 
 
+def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels")))
@@ -31,6 +35,7 @@ def op10_dac_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_crf": op1_language_crf,
+    "op2_bagminhash": op2_bagminhash,
     "op8_quality_trees": op8_quality_trees,
     "op9_packing": op9_packing,
     "op10_dac_ids": op10_dac_ids,
