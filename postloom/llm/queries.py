@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, dac, langid, linededup, packing, rules
+from . import bagminhash, dac, langid, linededup, packing, rules, sanitise
 from .base import table
 
 
@@ -25,6 +25,10 @@ def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("doc_id", "_line_total as n_lines", "_line_gone as n_deleted", "text")
 
 
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels")))
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_crf": op1_language_crf,
     "op2_bagminhash": op2_bagminhash,
     "op3_line_runs": op3_line_runs,
+    "op4_disclosure": op4_disclosure,
     "op8_quality_trees": op8_quality_trees,
     "op9_packing": op9_packing,
     "op10_dac_ids": op10_dac_ids,
