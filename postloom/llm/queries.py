@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, dac, langid, linededup, packing, rules, sanitise
+from . import bagminhash, dac, kneserney, langid, linededup, packing, rules, sanitise
 from .base import table
 
 
@@ -29,6 +29,10 @@ def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.report(table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneserney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels")))
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bagminhash": op2_bagminhash,
     "op3_line_runs": op3_line_runs,
     "op4_disclosure": op4_disclosure,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_quality_trees": op8_quality_trees,
     "op9_packing": op9_packing,
     "op10_dac_ids": op10_dac_ids,

@@ -140,10 +140,10 @@ def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, re
     of_entity = held.select(F.explode(F.array_distinct(F.transform(F.concat(*(_entities(k) for k in KINDS)), lambda e: e.value))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     of_term = terms.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
-    total = held.agg(F.count("*").alias("n"))
-    ic = F.log2(F.col("n") / F.col("n_e"))
-    pmi = F.log2(F.col("both") * F.col("n") / (F.col("n_t") * F.col("n_e")))
-    telling = pairs.join(of_entity, "entity").join(of_term, "term").join(F.broadcast(total)).where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
+    total = held.count()
+    ic = F.log2(total / F.col("n_e"))
+    pmi = F.log2(F.col("both") * total / (F.col("n_t") * F.col("n_e")))
+    telling = pairs.join(of_entity, "entity").join(of_term, "term").where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
     spots = met.join(telling, ["entity", "term"]).select("row", F.struct("start", "end").alias("span")).distinct()
     found_terms = spots.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("term"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
