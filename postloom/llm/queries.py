@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, dac, kneserney, langid, linededup, packing, rules, sanitise
+from . import bagminhash, dac, decontam, kneserney, langid, linededup, packing, rules, sanitise
 from .base import table
 
 
@@ -33,6 +33,10 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.judge(docs, rules.train(docs, table(spark, sf_dir, "labels")))
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_runs": op3_line_runs,
     "op4_disclosure": op4_disclosure,
     "op7_kneser_ney": op7_kneser_ney,
+    "op6_latent_leaks": op6_latent_leaks,
     "op8_quality_trees": op8_quality_trees,
     "op9_packing": op9_packing,
     "op10_dac_ids": op10_dac_ids,
