@@ -1,17 +1,62 @@
-"""The documents' way through five of the operators."""
+"""The documents' way through five of the operators.
+
+Each stage takes (spark, docs, sf_dir), works on all of ``docs`` and returns those it
+keeps with the columns of ``documents``; the last returns the packed pieces.  A document
+without a doc_id can't be named by any stage and leaves at the first.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postloom.llm import bagminhash, decontam, langid, linededup, packing
+from postloom.llm.base import materialise, table
+
+#: Below this mean marginal a document has no language of its own.
+LEAST_LANGUAGE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose words the field gives to a language; texts without letters and undecided ones go."""
+    found = langid.predict(docs, langid.train(docs)).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE))
+    return docs.join(found.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of line runs; a text of which nothing with a word is left goes."""
+    left = linededup.dedup_lines(docs).where((F.col("_line_gone") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one of the least id."""
+    first = bagminhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi")
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the sequences, with their ids."""
+    return packing.pack(docs, with_ids=True)
+
+
+STAGES = [
+    ("language", language),
+    ("repeated_lines", repeated_lines),
+    ("near_copies", near_copies),
+    ("benchmark_leaks", benchmark_leaks),
+    ("packed", packed),
+]
+ORACLE_SQL = None  # the stages' models have no SQL; tests hold each against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in turn, each written to the shared folder and read again."""
-    from postloom.llm.base import materialise, table
-
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

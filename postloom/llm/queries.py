@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, dac, decontam, kneserney, langid, linededup, packing, rules, sanitise
+from . import bagminhash, dac, decontam, kneserney, langid, linededup, packing, rules, sanitise, secrets
 from .base import table
 
 
@@ -33,6 +33,10 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_disclosure": op4_disclosure,
     "op7_kneser_ney": op7_kneser_ney,
     "op6_latent_leaks": op6_latent_leaks,
+    "op5_secret_forest": op5_secret_forest,
     "op8_quality_trees": op8_quality_trees,
     "op9_packing": op9_packing,
     "op10_dac_ids": op10_dac_ids,
