@@ -35,6 +35,8 @@ from .base import bounded_batches, materialise, slices, texts_of
 SIZE, ORDER = 64, 4
 BEGIN, OTHER = 63, 62
 QUANTILE, SLACK = 0.995, 1.25
+#: Up to so many languages' thresholds are broadcast; more are joined by a shuffle.
+FEW_LANGUAGES = 1000
 _MARK = "\U0010ffff"
 
 
@@ -176,5 +178,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     limit = lambda: (F.percentile_approx("perplexity", quantile, 10000) * slack).alias("threshold")
     per_lang = known.groupBy("lang").agg(limit())
     overall = known.agg(limit()).first()[0]
+    few = per_lang.limit(FEW_LANGUAGES + 1).collect()
+    if len(few) <= FEW_LANGUAGES:
+        per_lang = F.broadcast(docs.sparkSession.createDataFrame(few, "lang string, threshold double"))
     out = scores.join(per_lang, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(float("inf") if overall is None else overall)))
     return out.select("doc_id", "lang", "n_symbols", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
