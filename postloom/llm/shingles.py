@@ -22,32 +22,46 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
-_POWER = np.cumprod(np.full(1 << 12, 0xD6E8FEB86659FD93, np.uint64))
+_BASE, _INVERSE = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+_POWER = np.cumprod(np.full(8, _BASE))
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
+_TABLES: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, from 0 to n at least."""
+    if not _TABLES or len(_TABLES[0]) <= n:
+        size = max(n + 1, 1 << 20)
+        _TABLES[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, x))]) for x in (_BASE, _INVERSE)]
+    return _TABLES[0], _TABLES[1]
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and how many each text has."""
+    """Hashes of all words in order, and how many each text has.
+
+    A word's hash is a polynomial in its bytes, taken from running sums over the batch.
+    """
     texts = texts.cast(pa.string())
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     inside = ~_WHITE[raw]
+    cut = np.zeros(n + 1, bool)  # a text's end cuts a word
+    cut[offsets] = True
     begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edges = offsets[:-1][(offsets[:-1] < len(raw)) & (np.diff(offsets) > 0)]
-    begins[edges] = inside[edges]
-    start = np.flatnonzero(begins)
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    first = np.searchsorted(at, start)
-    length = np.diff(np.append(first, len(at)))
-    place = np.arange(len(at)) - np.repeat(first, length)
-    h = mix(np.add.reduceat(_BYTE[raw[at]] * _POWER[place & 4095] + (place >> 12).astype(np.uint64), first) + length.astype(np.uint64))
-    counts = np.diff(np.searchsorted(start, offsets))
-    return h, counts
+    begins[1:] &= ~inside[:-1] | cut[1:n]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | cut[1:n]
+    start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    up, down = _powers(n)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[:n], out=total[1:])
+    h = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+    return h, np.diff(np.searchsorted(start, offsets))
 
 
 def layers(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
