@@ -21,8 +21,10 @@ def utf16_prefix(s: Column, n: Column | int) -> Column:
     """The first ``n`` UTF-16 units; half of a pair at the end is left out."""
     n = F.lit(n) if isinstance(n, int) else n
     short = F.length(s) == utf16_length(s)  # no character outside the basic plane
-    units = F.decode(F.substring(F.encode(s, "UTF-16BE"), F.lit(1), (n * 2).cast("int")), "UTF-16BE")
-    return F.when(short, F.substring(s, F.lit(1), n.cast("int"))).otherwise(F.regexp_replace(units, "\\ufffd$", ""))
+    raw = F.encode(s, "UTF-16BE")
+    half = (n > 0) & F.hex(F.substring(raw, (n * 2 - 1).cast("int"), F.lit(1))).between("D8", "DB")
+    units = F.decode(F.substring(raw, F.lit(1), (F.when(half, n - 1).otherwise(n) * 2).cast("int")), "UTF-16BE")
+    return F.when(short, F.substring(s, F.lit(1), n.cast("int"))).otherwise(units)
 
 
 def js_trim(s: Column) -> Column:
