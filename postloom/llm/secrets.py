@@ -7,7 +7,7 @@ likelihood among the corpus's words), how much of it dictionary words cover, the
 (the document's source) and the neighbouring words.
 
 The dictionary and the transitions come from all documents: words in letters are
-counted everywhere and the ``DICTIONARY`` most frequent are the dictionary.  The forest
+counted everywhere and the most frequent, ``DICTIONARY`` at most, are the dictionary.  The forest
 is trained on labelled findings: by default ``labelled_findings``, made from published
 key formats and from look-alikes (digests, identifiers, versions, words); a table of
 one's own with the columns text, before, after, path, secret can be given instead, of
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, slices, texts_of
+from .base import bounded_batches, materialise, slices, texts_of
 
 DICTIONARY, FIT_ROWS, TREES, DEPTH = 20_000, 20_000, 40, 9
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer"
@@ -50,7 +50,7 @@ OUT = "doc_id long, kind string, start long, end long, secret_sha256 string, sco
 
 
 def corpus_words(docs: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int]]:
-    """The most frequent words in lower-case letters of all documents, with their counts."""
+    """The words in lower-case letters that are frequent enough in all documents that at most ``size`` are, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 12_000_000):
@@ -60,8 +60,16 @@ def corpus_words(docs: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int
             ok = pc.match_substring_regex(word, "^[a-z]{3,24}$")
             yield pa.RecordBatch.from_pydict({"word": word.filter(ok), "n": n.filter(ok)})
 
-    rows = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [(r[0], r[1]) for r in rows.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = materialise(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # the least count that at most ``size`` words reach: as many rows as there are different counts
+    least, total = None, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        total += r["words"]
+        if total > size:
+            break
+        least = r["n"]
+    rows = counts.where(F.col("n") >= least).collect() if least is not None else []
+    return sorted(((r["word"], r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
 class Features:
