@@ -10,8 +10,8 @@ a grouping and no global order has to be made.
 A run counts if it has ``min_words`` words.  For each line the shortest such runs that
 begin there and that end there are looked up; a longer repeated run is covered by
 overlapping ones of these, so their union is the union of all maximal repeated runs.
-The first copy, by (doc_id, line), stays; later copies are deleted, with the blank
-lines inside.  Copies within one text count.
+The first copy, by (doc_id, line), stays; later copies are deleted.  A blank line goes if
+it is inside one of the shortest runs.  Copies within one text count.
 
 Nulls: a null text has no lines and stays null; a null ``doc_id`` comes first in order.
 Rows equal in doc_id and text are one document: each gets its result.  Empty texts

@@ -112,7 +112,9 @@ def runs_gone(rows, least=5):
         for b in range(len(s)):
             for e in range(b, len(s)):
                 if sum(x[2] for x in s[b : e + 1]) >= least and first[tuple(x[1] for x in s[b : e + 1])] < (d, b):
-                    gone.setdefault(d, set()).update(range(s[b][0], s[e][0] + 1))
+                    short = sum(x[2] for x in s[b + 1 : e + 1]) < least or sum(x[2] for x in s[b:e]) < least
+                    lines = range(s[b][0], s[e][0] + 1) if short else [x[0] for x in s[b : e + 1]]
+                    gone.setdefault(d, set()).update(lines)
     return gone
 
 
