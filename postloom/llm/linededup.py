@@ -91,6 +91,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """d, t, gone: the line numbers (from 0) to delete in the documents that have any."""
     rows = materialise(windows(docs, min_words), "runs")
     firsts = rows.groupBy("x", "y").agg(F.min(F.struct("d", "t", "b")).alias("first"), F.count("*").alias("n")).where("n > 1").select("x", "y", "first")
+    firsts = materialise(firsts, "firsts")  # else the join takes over its exchange, and a hot run can't be split
     later = rows.join(firsts, ["x", "y"]).where(F.struct("d", "t", "b") > F.col("first"))
     lines = later.select("d", "t", "from", "upto").distinct()
     return lines.groupBy("d", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("from", "upto"))))).alias("gone"))
