@@ -110,11 +110,11 @@ def content_json(headers: Column, attachments: Column, text: Column) -> Column:
     return F.to_json(F.struct(headers.alias("headers"), attachments.alias("attachments"), text.alias("text")))
 
 
-def fitted(text: Column, wrapped, options: Options, old_count: bool = False, counter=T.count) -> tuple[Column, Column, Column]:
-    """The text that fits the budget, characters removed, and whether any length fits."""
+def fitted(text: Column, wrapped, options: Options, old_count: bool = False, counter=T.count) -> Column:
+    """(kept, removed, fits) as a struct: make it a column of its own, so that it is evaluated once."""
     cut, gone = clamp(text)
     state = T.fit(cut, wrapped, options.max_tokens, lambda s, n: F.when(n >= utf16_length(s), s).otherwise(utf16_prefix(s, n)), utf16_length(cut), counter, old_count)
-    return utf16_prefix(cut, state.kept), (gone + state.removed).cast("int"), state.fits
+    return F.transform(F.array(state), lambda z: F.struct(z.kept.alias("kept"), (gone + z.removed).cast("int").alias("removed"), z.fits.alias("fits")))[0]
 
 
 def summary_prompt(content: Column, user: str | None = None) -> Column:

@@ -52,8 +52,8 @@ def prepare_question(questions: DataFrame, options: P.Options | None = None) ->
 
 
 def _prepared(rows: DataFrame, o: P.Options, wrapped: Callable, system: str, routed: bool, old_count: bool) -> DataFrame:
-    kept, removed, fits = P.fitted(F.col("t"), wrapped, o, old_count)
-    rows = rows.withColumn("text_used", kept).withColumn("chars_removed", removed).withColumn("fits", fits)
+    rows = rows.withColumn("z", P.fitted(F.col("t"), wrapped, o, old_count))
+    rows = rows.withColumn("text_used", X.utf16_prefix(F.col("t"), F.col("z.kept"))).withColumn("chars_removed", F.col("z.removed")).withColumn("fits", F.col("z.fits"))
     rows = rows.withColumn("prompt", wrapped(F.col("text_used"))).withColumn("n_tokens", T.count(F.col("prompt")))
     path, body = P.payload(F.col("prompt"), F.col("n_tokens"), system, o.model_or(P.CHAT_MODEL), o, routed=routed)
     short = (path == P.INSTRUCT) & (F.col("n_tokens") >= T.WINDOW)
@@ -63,11 +63,18 @@ def _prepared(rows: DataFrame, o: P.Options, wrapped: Callable, system: str, rou
 
 def _asked(prepared: DataFrame, make_client: Callable[[], Client], o: P.Options, model: str, chat_only: bool = False, **run) -> DataFrame:
     """message_id, answer text, req_id, tokens, model, time_ms, error, for all rows; refused ones aren't sent."""
-    sent = call(prepared.where("refused is null"), make_client, ["message_id"], **run)
-    reply = F.from_json("response", CHAT)
-    sent = sent.withColumn("r", reply).select("message_id", A.merge_choices(F.col("r.choices"), "\n" if chat_only else "", chat_only).alias("answer_text"), F.col("r.id").alias("req_id"), F.col("r.usage.total_tokens").alias("tokens"), "error", "time_ms")
-    refused = prepared.where("refused is not null").select("message_id", F.lit(None).cast("string").alias("answer_text"), F.lit(None).cast("string").alias("req_id"), F.lit(None).cast("bigint").alias("tokens"), F.col("refused").alias("error"), F.lit(0).cast("bigint").alias("time_ms"))
-    return sent.unionByName(refused).withColumn("model", F.lit(model))
+    rows = prepared.select("message_id", F.when(F.col("refused").isNull(), F.col("path")).alias("path"), "body", F.col("refused.message").alias("no"), F.col("refused.code").alias("code"))
+    sent = call(rows, make_client, ["message_id", "no", "code"], **run).withColumn("r", F.from_json("response", CHAT))
+    refused = F.when(F.col("no").isNotNull(), F.struct(F.col("no").alias("message"), "code", F.lit(None).cast("int").alias("statusCode"), F.lit(None).cast("string").alias("textContent")))
+    return sent.select(
+        "message_id",
+        A.merge_choices(F.col("r.choices"), "\n" if chat_only else "", chat_only).alias("answer_text"),
+        F.col("r.id").alias("req_id"),
+        F.col("r.usage.total_tokens").alias("tokens"),
+        F.coalesce(refused, "error").alias("error"),
+        "time_ms",
+        F.lit(model).alias("model"),
+    )
 
 
 def _decoded(asked: DataFrame, extract: bool) -> DataFrame:

@@ -271,8 +271,8 @@ SELECT doc_id, CAST(min(kept) AS BIGINT) AS kept, CAST(max(removed) AS BIGINT) A
 
 
 def _truncated(spark: SparkSession, sf_dir: str, budget: int, old: bool) -> DataFrame:
-    kept, removed, _ = P.fitted(F.col("text"), lambda t: F.concat(F.lit("Body: "), t), P.Options(max_tokens=budget), old)
-    return table(spark, sf_dir, "documents").select("doc_id", long(F.length(kept)).alias("kept"), long(removed).alias("removed"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", P.fitted(F.col("text"), lambda t: F.concat(F.lit("Body: "), t), P.Options(max_tokens=budget), old).alias("z"))
+    return rows.select("doc_id", long(F.col("z.kept")).alias("kept"), long(F.col("z.removed")).alias("removed"))
 
 
 @query(_ladder_sql(500, _STEP))
