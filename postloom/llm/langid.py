@@ -1,6 +1,6 @@
 """Language of words and documents by a linear-chain conditional random field (operator 1).
 
-Every word's label is a language.  Emissions are sums of learned weights of the word's
+Every word's label is a language; digits and signs at or in a word are left out.  Emissions are sums of learned weights of the word's
 affixes and character n-grams (with marks at its ends) and of the word itself (the
 lexicon), all in one hashed table; transitions between languages are learned too.
 Training strings runs of words of different languages together, so that switching
@@ -74,6 +74,18 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(slots), np.concatenate(owner)
 
 
+def cores(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different words (lower case, letters only), and for each word with letters its number and its text's."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    core = pc.replace_substring_regex(coded.dictionary, r"[^\p{L}\p{M}']+", "")
+    lettered = pc.match_substring_regex(core, r"\p{L}").to_numpy(zero_copy_only=False)
+    at = coded.indices.to_numpy()
+    doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    real = lettered[at] if len(at) else np.zeros(0, bool)
+    return core.to_numpy(zero_copy_only=False).tolist(), at[real], doc[real]
+
+
 @dataclass
 class Field:
     langs: list[str]
@@ -149,8 +161,10 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, batch_words: int =
     k, rng = len(names), np.random.default_rng(seed)
     field = Field(names, np.zeros((1 << BITS, k)), np.zeros((k, k)) - np.log(k), np.zeros(k) - np.log(k))
     runs: list[tuple[int, list[str]]] = []
-    for text, lang in zip(texts, langs):
-        words, at = [w for w in text.lower().split()], 0
+    known, numbers, doc = cores(pa.array(texts, pa.string()))
+    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for k_doc, lang in enumerate(langs):
+        words, at = [known[i] for i in numbers[bounds[k_doc] : bounds[k_doc + 1]].tolist()], 0
         while at < len(words):
             n = int(rng.integers(5, 41))
             runs.append((names.index(lang), words[at : at + n]))
@@ -219,17 +233,11 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
         for batch in slices(batches, "text", 3_000_000):
             n = batch.num_rows
             texts = texts_of(batch, "text")
-            lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
-            coded = lists.flatten().dictionary_encode()
-            lettered = pc.match_substring_regex(coded.dictionary, r"\p{L}").to_numpy(zero_copy_only=False)
-            at = coded.indices.to_numpy()
-            doc = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-            real = lettered[at] if len(at) else np.zeros(0, bool)
-            at, doc = at[real], doc[real]
+            words, at, doc = cores(texts)
             pred, score, counts, switches = [UND] * n, np.zeros(n), np.bincount(doc, minlength=n), np.zeros(n, np.int64)
             if model is not None and len(at):
                 begins = np.diff(doc, prepend=-1) > 0
-                p = model.marginals(model.emissions(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[at], begins)
+                p = model.marginals(model.emissions(words)[at], begins)
                 mean = np.stack([np.bincount(doc, p[:, j], n) for j in range(len(model.langs))], 1) / np.maximum(counts, 1)[:, None]
                 best = mean.argmax(1)
                 label = p.argmax(1)
