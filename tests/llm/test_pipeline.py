@@ -29,3 +29,13 @@ def test_stages_take_odd_documents(spark, sf):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, sf).collect(), DOCS)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
+def test_line_runs_same_as_sql(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = queries.QUERIES["op3_line_runs"](spark, sf).collect()
+    want = c.execute("SELECT doc_id, n_lines, n_deleted, text FROM (" + queries.ORACLES["op3_line_runs"] + ")").fetchall()
+    assert sorted((r.doc_id, r.n_lines, r.n_deleted, r.text) for r in got) == sorted(want)
