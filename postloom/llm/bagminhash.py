@@ -17,7 +17,8 @@ a pair at 0.8 is missed with a probability of about 1e-7.
 
 Nulls: a null text has no words.  A text without words is a class of its own; a text of
 fewer than five words has one shingle.  A null ``doc_id`` is kept and never names a
-class unless all of the class are null.  Repeated rows are copies.  Very long texts
+class unless all of the class are null; a text that only rows without one have is
+linked to its equals alone.  Repeated rows are copies.  Very long texts
 are read whole.  An empty table gives no rows.  Extra columns are ignored.
 """
 
@@ -81,6 +82,13 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
+def _nodes(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each text's whole multiset."""
+    ends = np.cumsum(counts)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(found, dtype=np.uint64)])
+    return mix(total[ends] - total[ends - counts] + counts.astype(np.uint64) * _GOLD)
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, node (a hash of the whole multiset; null without words), layers, bands."""
     bounded_batches(docs.sparkSession)
@@ -88,10 +96,7 @@ def describe(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
             found, counts = layers(texts_of(batch, "text"))
-            n = len(counts)
-            ends = np.cumsum(counts)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(found, dtype=np.uint64)])
-            node = mix(total[ends] - total[ends - counts] + counts.astype(np.uint64) * _GOLD)
+            node = _nodes(found, counts)
             many = counts > FEWEST
             bands = band_keys(signatures(found[np.repeat(many, counts)], counts[many]))
             sizes = np.where(many, BANDS, 0)
@@ -101,7 +106,6 @@ def describe(docs: DataFrame) -> DataFrame:
                 "layers": pa.array(counts, pa.int64()),
                 "bands": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), _signed(bands.ravel())),
             })
-            assert n == batch.num_rows
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, layers long, bands array<long>")
 
@@ -112,7 +116,10 @@ def _layers_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
             found, counts = layers(texts_of(batch, "text"))
-            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "set": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), _signed(found))})
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), _signed(found))
+            # rows of the same doc_id with another text aren't meant
+            own = pa.array(_nodes(found, counts).view(np.int64) == batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "set": sets}).filter(own)
 
     rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
     return rows.mapInArrow(run, "node long, set array<long>")

@@ -138,3 +138,10 @@ def test_run_edges(spark):
     assert by[10].text == "the quick brown fox jumps over the lazy dog" and by[10]._line_gone == 1
     assert by[11].text == by[12].text == "" and by[0].text is None and by[0]._line_total == 0
     assert linededup.dedup_lines(empty(spark)).count() == 0
+
+
+def test_one_id_with_two_texts(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(words)), (1, "another text that has nothing to do with it at all"), (2, " ".join([*words[:39], "end"]))]
+    got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_layers) for r in got) == [(1, 1, 7), (1, 1, 36), (2, 1, 36)]
