@@ -9,9 +9,10 @@ at which all components of the text have one.
 
 Texts with equal multisets are one node.  Bands of the signature are buckets.  Within
 a bucket, first each node's most promising bucket-mate is verified by exact multiset
-overlap; nodes joined so need no further check.  Then every pair of a bucket that is
-still in two components is verified, whichever they are: no pair of nodes that
-shares a bucket stays unverified unless its nodes are in one component already.
+overlap; nodes joined so need no further check.  Then the members outside a bucket's
+largest component are compared with all its members, in blocks that send close pairs
+only, and these are verified: no pair of nodes that shares a bucket stays unverified
+unless its nodes are in one component already.
 Components come from label propagation with pointer jumping.  With 40 bands of 5
 a pair at 0.8 is missed with a probability of about 1e-7.
 
@@ -38,6 +39,8 @@ BANDS, ROWS = 40, 5
 #: A text of fewer layers reaches 0.8 with an equal one only.
 FEWEST = 4
 LEAST = 0.8
+#: Members of a bucket that are compared in one group.
+BLOCK = 2048
 _PLACE = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -148,6 +151,55 @@ def components(edges: DataFrame, what: str = "labels") -> DataFrame:
             return labels
 
 
+def _close_in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket, in two components, whose multisets may overlap enough.
+
+    ``members`` has bucket, node, layers, label and top (one of the bucket's components).
+    Those outside the top component are compared with all.  A bucket is cut into blocks
+    of about ``BLOCK`` members; a group has a block of outsiders and a block of all, and
+    sends the close pairs only.  Elements are folded to 32 bits here, which can only add
+    pairs; these are verified on the whole elements.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum((F.col("label") != F.col("top")).cast("long")).alias("r"))
+    folded = sets.select("node", F.transform("set", lambda z: F.pmod(z, F.lit(4294967291)).cast("long") - 2147483648).cast("array<int>").alias("set"))
+    rows = members.join(sizes, "bucket")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.hash("node"), blocks(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    outside = F.col("label") != F.col("top")
+    # a member is in the block of all of its own for each block of outsiders, and the other way round
+    everyone = rows.select("bucket", "node", "label", F.lit(False).alias("out"), spread("r").alias("i"), own("m").alias("j"))
+    outsiders = rows.where(outside & (F.ceil(F.col("m") / BLOCK) > 1)).select("bucket", "node", "label", F.lit(True).alias("out"), own("r").alias("i"), spread("m").alias("j"))
+    # a bucket of one block needs its members once: outsiders are marked in place
+    single = rows.where(F.col("m") <= BLOCK).select("bucket", "node", "label", outside.alias("out"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("both"))
+    many = everyone.join(sizes.where(F.col("m") > BLOCK).select("bucket"), "bucket", "left_semi").union(outsiders).withColumn("both", F.lit(False))
+    grouped = single.unionByName(many).join(folded, "node").groupBy("bucket", "i", "j")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, label, out, both = (table.column(c).to_numpy() for c in ("node", "label", "out", "both"))
+        lists = table.column("set").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))
+        size = np.diff(np.concatenate([[0], ends]))
+        owner = np.repeat(np.arange(len(node)), size)
+        left, right = np.flatnonzero(out), (~out) | both
+        pick = right[owner]
+        order = np.argsort(flat[pick], kind="stable")
+        values, holders = flat[pick][order], owner[pick][order]
+        pairs: set[tuple[int, int]] = set()
+        for r in left.tolist():
+            mine = np.unique(flat[ends[r] - size[r] : ends[r]])
+            lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(holders[at], minlength=len(node))
+            ok = (common >= least * (size[r] + size - common) - 1e-6 * size - 2 * (size > 10_000)) & (label != label[r]) & (common > 0)
+            pairs |= {(min(a, b), max(a, b)) for a, b in ((int(node[r]), int(node[k])) for k in np.flatnonzero(ok))}
+        found = sorted(pairs)
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    return grouped.applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), n_layers, n_copies (of equal multisets) per document."""
     all_docs = materialise(describe(docs), "bags")
@@ -161,25 +213,23 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     first = materialise(votes.groupBy("node").agg(F.max(F.struct("count", "other")).alias("m")).select(F.col("node").alias("a"), F.col("m.other").alias("b")), "first")
     names = nodes.select("node", "doc_id").where("doc_id is not null")
 
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets_of(wanted: DataFrame) -> DataFrame:
         return materialise(_layers_of(docs, names.join(wanted, "node")).dropDuplicates(["node"]), "sets")
 
-    edges = materialise(_verified(first, sets_for(first), least), "edges")
+    met = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    edges = materialise(_verified(first, sets_of(met), least), "edges")
     labels = components(edges)
     # what shares a bucket and is in two components: everyone outside the pivot's component against all others
     label = F.coalesce("label", "node")
     placed = members.join(pivots.select("bucket"), "bucket", "left_semi").join(labels, "node", "left").select("bucket", "node", "layers", label.alias("label"))
-    tops = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", F.col("low").alias("top"))
+    parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    tops = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("most.label").alias("top"))
     open_buckets = materialise(placed.join(tops, "bucket"), "open")
-    x = open_buckets.where("label != top").select("bucket", F.col("node").alias("a"), F.col("layers").alias("la"), F.col("label").alias("ca"))
-    y = open_buckets.select("bucket", F.col("node").alias("b"), F.col("layers").alias("lb"), F.col("label").alias("cb"))
-    met = x.join(y, "bucket").where((F.col("ca") != F.col("cb")) & similar(F.col("la"), F.col("lb")))
-    rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        found = materialise(_verified(rest, sets_for(rest), least), "more")
+    if not open_buckets.isEmpty():
+        sets = sets_of(open_buckets.select("node").distinct())
+        close = materialise(_close_in_blocks(open_buckets, sets, least), "close")
+        tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = materialise(_verified(close.join(tried, ["a", "b"], "left_anti"), sets, least), "more")
         if not found.isEmpty():
             edges = materialise(edges.union(found), "edges")
             labels = components(edges)

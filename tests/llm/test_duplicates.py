@@ -145,3 +145,17 @@ def test_one_id_with_two_texts(spark):
     rows = [(1, " ".join(words)), (1, "another text that has nothing to do with it at all"), (2, " ".join([*words[:39], "end"]))]
     got = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.class_id, r.n_layers) for r in got) == [(1, 1, 7), (1, 1, 36), (2, 1, 36)]
+
+
+def test_blocks_of_a_bucket_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "BLOCK", 3)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(60)], []
+    for k in range(40):
+        w = list(base)
+        for _ in range(r.choice([1, 1, 2, 3])):
+            w[r.randrange(len(w))] = word()
+        rows.append((k, " ".join(w)))
+    got = {x.doc_id: x.class_id for x in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows)
