@@ -193,7 +193,10 @@ def _close_in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataF
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             common = np.bincount(holders[at], minlength=len(node))
             ok = (common >= least * (size[r] + size - common) - 1e-6 * size - 2 * (size > 10_000)) & (label != label[r]) & (common > 0)
-            pairs |= {(min(a, b), max(a, b)) for a, b in ((int(node[r]), int(node[k])) for k in np.flatnonzero(ok))}
+            near = np.flatnonzero(ok)
+            near = near[np.argsort(-(common[near] / (size[r] + size[near] - common[near])), kind="stable")]
+            near = near[np.unique(label[near], return_index=True)[1]]  # the closest of each component joins it
+            pairs |= {(min(a, b), max(a, b)) for a, b in ((int(node[r]), int(node[k])) for k in near)}
         found = sorted(pairs)
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
