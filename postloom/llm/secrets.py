@@ -1,7 +1,7 @@
 """Secret scan with a random forest (operator 5).
 
 Patterns propose candidates in every whole text: values after a credential's name, known
-key shapes, and long runs of key characters.  A random forest removes false
+key shapes, private key blocks through their end, and long runs of key characters, of any length.  A random forest removes false
 positives.  It sees a candidate's length, its character transitions (by class, and their
 likelihood among the corpus's words), how much of it dictionary words cover, the path
 (the document's source) and the neighbouring words.
@@ -38,12 +38,19 @@ from .base import bounded_batches, materialise, slices, texts_of
 
 DICTIONARY, FIT_ROWS, TREES, DEPTH = 20_000, 20_000, 40, 9
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer"
+_PEM = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 CANDIDATE = re.compile(
-    rf"(?i:(?P<name>{NAMES})\w*[\"']?\s{{0,3}}(?:=|:|=>)\s{{0,3}}[\"']?(?P<value>[^\s\"',;]{{6,200}}))"
-    r"|(?P<known>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,80}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,500}\.[A-Za-z0-9_-]{10,500}\.[A-Za-z0-9_-]{10,500}|sk_live_[0-9A-Za-z]{24})"
-    r"|(?P<pem>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)"
-    r"|(?<![A-Za-z0-9+/_=-])(?P<run>[A-Za-z0-9+/_-]{20,200}={0,2})(?![A-Za-z0-9+/_=-])"
+    # a value ends before a key block
+    rf"(?i:(?P<name>{NAMES})\w*+[\"']?\s{{0,3}}(?:=|:|=>)\s{{0,3}}[\"']?(?P<value>(?:(?!(?-i:{_PEM}))[^\s\"',;]){{6,}}+))"
+    r"|(?P<known>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{24})"
+    # a block through its end; without one, through the runs of key characters that follow
+    rf"|(?P<pem>{_PEM}(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]{{0,30}}PRIVATE KEY-----|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{{20,}}+={{0,2}})*+))"
+    r"|(?<![A-Za-z0-9+/_=-])(?P<run>[A-Za-z0-9+/_-]{20,}+={0,2})(?![A-Za-z0-9+/_=-])"
 )
+#: A JWT; if the first eyJ of a run of its characters begins none, no later one of that run does.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(?P<jwt>eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)")
+#: A text without any of these has no candidate (for Arrow's engine; Python folds the dotted and dotless i with i).
+MAY = rf"(?i)(?:{NAMES.replace('i', '[iİı]')})|[A-Za-z0-9+/_-]{{20}}|-----BEGIN|xox[abprs]-|eyJ"
 KINDS = ("value", "known", "pem", "run")
 _LETTERS = re.compile(r"[a-z]{3,}")
 OUT = "doc_id long, kind string, start long, end long, secret_sha256 string, score double, is_secret boolean"
@@ -137,7 +144,10 @@ def labelled_findings(words: list[tuple[str, int]], n: int = 6000, seed: int = 5
             elif which == 1:
                 kind, text = "known", "ghp_" + chars(alnum, 36)
             elif which == 2:
-                kind, text = "pem", "-----BEGIN " + r.choice(["RSA ", "EC ", ""]) + "PRIVATE KEY-----"
+                which = r.choice(["RSA ", "EC ", ""])
+                kind, text = "pem", f"-----BEGIN {which}PRIVATE KEY-----"
+                if r.random() < 0.7:
+                    text += "\n" + "".join(chars(alnum + "+/", 64) + "\n" for _ in range(r.randint(2, 26))) + f"-----END {which}PRIVATE KEY-----"
             elif which == 3:
                 kind, text, before = "run", chars(alnum + "+/", r.randint(28, 60)), before + r.choice([" key ", f' {name} is "', " Bearer "])
             else:
@@ -225,9 +235,18 @@ def train(words: list[tuple[str, int]], findings: DataFrame | None = None) -> tu
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """(kind, start, end), leftmost and non-overlapping, in code points."""
-    for m in CANDIDATE.finditer(text):
-        kind = next(k for k in KINDS if m[k] is not None)
-        yield kind, *m.span(kind)
+    m, jwt = CANDIDATE.search(text), _JWT.search(text)
+    while m or jwt:
+        if jwt and (not m or jwt.start("jwt") <= m.start()):
+            kind, (a, b) = "known", jwt.span("jwt")
+        else:
+            kind = next(k for k in KINDS if m[k] is not None)
+            a, b = m.span(kind)
+        yield kind, a, b
+        if m and m.start() < b:
+            m = CANDIDATE.search(text, b)
+        while jwt and jwt.start("jwt") < b:
+            jwt = _JWT.search(text, jwt.end())
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
@@ -235,14 +254,12 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(train(corpus_words(docs), findings))
-    # a text without any of these has no candidate
-    may = rf"(?i)(?:{NAMES})|[A-Za-z0-9+/_-]{{20}}|-----BEGIN"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, forest = shared.value
         for batch in slices(batches, "text"):
             texts = texts_of(batch, "text")
-            likely = np.flatnonzero(pc.match_substring_regex(texts, may).to_numpy(zero_copy_only=False))
+            likely = np.flatnonzero(pc.match_substring_regex(texts, MAY).to_numpy(zero_copy_only=False))
             found, x = [], []
             for i in likely.tolist():
                 text, path = texts[i].as_py(), batch.column(1)[i].as_py() or ""
