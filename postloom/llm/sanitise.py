@@ -1,15 +1,19 @@
 """Personal data and what gives it away (operator 4), with DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card and telephone numbers.  Each
-distinct value is a protected entity.  Words near an entity in a text are terms that
-may give it away.  The corpus estimates how much: with p over documents, a term t
-discloses an entity e where
+distinct value is a protected entity.  The words of a text with an entity are terms that
+may give it away, however far they stand from it.  The corpus estimates how much: with p
+over documents, a term t discloses an entity e where
 
     PMI(t; e) = log2( p(t, e) / (p(t) p(e)) )  >=  alpha * IC(e) = -alpha * log2 p(e)
 
 and at least ``support`` documents have both.  Such terms are further spans (kind
-``term``) wherever they stand near that entity: masking the entity alone would leave it
-readable from them.  ``sanitise`` generalises base spans to their kind and removes
+``term``) wherever they stand in a document with that entity: masking the entity alone
+would leave it readable from them.
+
+Pairs are counted over whole documents.  As p(t, e) is at most p(e), a pair can hold only
+where n_t <= N ** (1 - alpha) * n_e ** alpha, and support needs as many documents of
+either; other pairs are not made, which loses none that the bound admits.  ``sanitise`` generalises base spans to their kind and removes
 the terms.
 
 Positions are code points, end exclusive.  Matches are found by splitting at them and
@@ -39,7 +43,7 @@ PATTERNS = {
 #: Cheap conditions without which a kind can't occur.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = r"\p{L}{3,}"
-ALPHA, SUPPORT, REACH = 0.9, 3, 80
+ALPHA, SUPPORT = 0.9, 3
 _BLOCK = 200
 
 
@@ -121,33 +125,43 @@ def _value(kind: str, hit: Column) -> Column:
     return F.concat(F.lit(kind + ":"), F.lower(hit) if kind in ("email", "ip") else F.regexp_replace(hit, "[^0-9]", ""))
 
 
-def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, reach: int = REACH) -> DataFrame:
+def _with_words(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``words``: array of (text, start, end) of the words of three letters or more of ``text`` that overlap no entity."""
+    df = found(df, text, TERM, "words", F.col(text) != "")
+    return df.withColumn("words", F.filter("words", lambda w: ~F.exists("entities", lambda o: (w.start < o.end) & (w.end > o.start))))
+
+
+def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """A row per document with its base spans and ``term`` spans: array of (start, end), in order.
 
-    Terms are words of three letters or more within ``reach`` code points of an entity.
+    Terms are words of three letters or more of documents that have an entity.
     """
-    spanned = base_spans(docs.select("doc_id", "text"))
     every = F.concat(*(_entities(k) for k in KINDS))
-    spanned = spanned.withColumn("entities", every).withColumn("near", F.when(F.size("entities") > 0, F.col("text")).otherwise(""))
-    spanned = found(spanned, "near", TERM, "words", F.col("near") != "")
-    close = F.flatten(F.transform("entities", lambda e: F.transform(
-        F.filter("words", lambda w: (w.start < e.end + reach) & (w.end > e.start - reach) & ~F.exists("entities", lambda o: (w.start < o.end) & (w.end > o.start))),
-        lambda w: F.struct(e.value.alias("entity"), F.lower(w.text).alias("term"), w.start.alias("start"), w.end.alias("end")),
-    )))
-    held = materialise(spanned.select(F.monotonically_increasing_id().alias("row"), "doc_id", *KINDS, close.alias("close")), "spans")
-    met = held.where(F.size("close") > 0).select("row", F.explode("close").alias("c")).select("row", "c.*")
-    pairs = materialise(met.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support), "pairs")
-    of_entity = held.select(F.explode(F.array_distinct(F.transform(F.concat(*(_entities(k) for k in KINDS)), lambda e: e.value))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    of_term = terms.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
+    spanned = base_spans(docs.select("doc_id", "text"))
+    held = materialise(spanned.select(F.monotonically_increasing_id().alias("row"), "doc_id", *KINDS, F.when(F.size(every) > 0, F.col("text")).alias("text")), "spans")
     total = held.count()
+    values = held.where("text is not null").select("row", F.explode(F.array_distinct(F.transform(every, lambda e: e.value))).alias("entity"))
+    of_entity = materialise(values.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "entities")
+    # the most documents a term may be in, for each entity of each document
+    bound = F.lit(float(max(total, 1))) ** (1 - alpha) * F.col("n_e") ** alpha + 1e-6
+    who = materialise(values.join(of_entity, "entity").select("row", "entity", "n_e", bound.alias("most")), "who")
+    rows = held.join(who.groupBy("row").agg(F.max("most").alias("most")), "row").select("row", "text", "most", every.alias("entities"))
+    worded = _with_words(rows, "text").select("row", "most", F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w.text)))).alias("term"))
+    terms = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    of_term = materialise(terms.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support), "terms")
+    rare = worded.join(of_term, "term").where(F.col("n_t") <= F.col("most")).select("row", "term", "n_t")
+    met = materialise(rare.join(who, "row").where(F.col("n_t") <= F.col("most")).select("row", "entity", "term", "n_t", "n_e"), "pairs")
+    counted = met.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).where(F.col("both") >= support)
     ic = F.log2(total / F.col("n_e"))
     pmi = F.log2(F.col("both") * total / (F.col("n_t") * F.col("n_e")))
-    telling = pairs.join(of_entity, "entity").join(of_term, "term").where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
-    spots = met.join(telling, ["entity", "term"]).select("row", F.struct("start", "end").alias("span")).distinct()
-    found_terms = spots.groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("term"))
+    telling = counted.where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
+    told = met.join(telling, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("told"))
+    marked = held.join(told, "row", "left").withColumn("entities", every)
+    # words are looked for again only where some are telling
+    marked = _with_words(marked.withColumn("near", F.when(F.col("told").isNotNull(), F.col("text")).otherwise("")), "near")
+    spans = F.transform(F.filter("words", lambda w: F.array_contains("told", F.lower(w.text))), lambda w: F.struct(w.start.alias("start"), w.end.alias("end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return held.join(found_terms, "row", "left").select("doc_id", *KINDS, F.coalesce("term", none).alias("term"))
+    return marked.select("doc_id", *KINDS, F.when(F.col("told").isNotNull(), F.array_sort(spans)).otherwise(none).alias("term"))
 
 
 def _entities(kind: str) -> Column:
