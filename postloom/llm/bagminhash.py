@@ -10,9 +10,10 @@ at which all components of the text have one.
 Texts with equal multisets are one node.  Bands of the signature are buckets.  Within
 a bucket, first each node's most promising bucket-mate is verified by exact multiset
 overlap; nodes joined so need no further check.  Then the members outside a bucket's
-largest component are compared with all its members, in blocks that send close pairs
-only, and these are verified: no pair of nodes that shares a bucket stays unverified
-unless its nodes are in one component already.
+largest component are compared with all its members, by exact overlap, in blocks that
+send a link for each two components they join: no pair of nodes that shares a bucket
+stays unverified unless its nodes are in one component already.  Buckets of the same
+members are compared once.
 Components come from label propagation with pointer jumping.  With 40 bands of 5
 a pair at 0.8 is missed with a probability of about 1e-7.
 
@@ -39,8 +40,8 @@ BANDS, ROWS = 40, 5
 #: A text of up to so many layers reaches 0.8 with an equal one only; 4 and 5 layers can share 4.
 FEWEST = 3
 LEAST = 0.8
-#: Members of a bucket that are compared in one group.
-BLOCK = 2048
+#: Members of a bucket, and their elements, that are compared in one group.
+BLOCK, BLOCK_LAYERS = 2048, 1_000_000
 _PLACE = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -151,29 +152,32 @@ def components(edges: DataFrame, what: str = "labels") -> DataFrame:
             return labels
 
 
-def _close_in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket, in two components, whose multisets may overlap enough.
+def _links_in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join a bucket's components wherever two of their members are similar enough.
 
     ``members`` has bucket, node, layers, label and top (one of the bucket's components).
     Those outside the top component are compared with all.  A bucket is cut into blocks
-    of about ``BLOCK`` members; a group has a block of outsiders and a block of all, and
-    sends the close pairs only.  Elements are folded to 32 bits here, which can only add
-    pairs; these are verified on the whole elements.
+    of about ``BLOCK`` members and ``BLOCK_LAYERS`` elements; a group has a block of
+    outsiders and a block of all.  It compares whole elements, joins components as it goes
+    and sends a link for each joining only: fewer links than components, however many
+    pairs are close.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"), F.sum((F.col("label") != F.col("top")).cast("long")).alias("r"))
-    folded = sets.select("node", F.transform("set", lambda z: F.pmod(z, F.lit(4294967291)).cast("long") - 2147483648).cast("array<int>").alias("set"))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("layers") / BLOCK_LAYERS)).cast("int")
+    rest = F.when(F.col("label") != F.col("top"), F.col("layers"))
+    left = F.greatest(F.ceil(F.count(rest) / BLOCK), F.ceil(F.coalesce(F.sum(rest), F.lit(0)) / BLOCK_LAYERS)).cast("int")
+    sizes = materialise(members.groupBy("bucket").agg(parts.alias("m"), left.alias("r")), "sizes")
     rows = members.join(sizes, "bucket")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    own = lambda n: F.pmod(F.hash("node"), blocks(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outside = F.col("label") != F.col("top")
-    # a member is in the block of all of its own for each block of outsiders, and the other way round
-    everyone = rows.select("bucket", "node", "label", F.lit(False).alias("out"), spread("r").alias("i"), own("m").alias("j"))
-    outsiders = rows.where(outside & (F.ceil(F.col("m") / BLOCK) > 1)).select("bucket", "node", "label", F.lit(True).alias("out"), own("r").alias("i"), spread("m").alias("j"))
     # a bucket of one block needs its members once: outsiders are marked in place
-    single = rows.where(F.col("m") <= BLOCK).select("bucket", "node", "label", outside.alias("out"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("both"))
-    many = everyone.join(sizes.where(F.col("m") > BLOCK).select("bucket"), "bucket", "left_semi").union(outsiders).withColumn("both", F.lit(False))
-    grouped = single.unionByName(many).join(folded, "node").groupBy("bucket", "i", "j")
+    single = rows.where("m = 1").select("bucket", "node", "label", outside.alias("out"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("both"))
+    # a member is in the block of all of its own for each block of outsiders, and the other way round
+    large = rows.where("m > 1")
+    everyone = large.select("bucket", "node", "label", F.lit(False).alias("out"), spread("r").alias("i"), own("m").alias("j"), F.lit(False).alias("both"))
+    outsiders = large.where(outside).select("bucket", "node", "label", F.lit(True).alias("out"), own("r").alias("i"), spread("m").alias("j"), F.lit(False).alias("both"))
+    placed = materialise(single.unionByName(everyone).unionByName(outsiders), "blocks")
+    grouped = placed.join(sets, "node").groupBy("bucket", "i", "j")
 
     def compare(table: pa.Table) -> pa.Table:
         node, label, out, both = (table.column(c).to_numpy() for c in ("node", "label", "out", "both"))
@@ -185,22 +189,25 @@ def _close_in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataF
         pick = right[owner]
         order = np.argsort(flat[pick], kind="stable")
         values, holders = flat[pick][order], owner[pick][order]
-        pairs: set[tuple[int, int]] = set()
+        part = np.unique(label, return_inverse=True)[1]  # the component of each member, as they are joined
+        apart, a, b = len(np.unique(part)), [], []
         for r in left.tolist():
-            mine = np.unique(flat[ends[r] - size[r] : ends[r]])
+            if apart == 1:
+                break
+            mine = flat[ends[r] - size[r] : ends[r]]
             lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
             n = hi - lo
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             common = np.bincount(holders[at], minlength=len(node))
-            ok = (common >= least * (size[r] + size - common) - 1e-6 * size - 2 * (size > 10_000)) & (label != label[r]) & (common > 0)
-            near = np.flatnonzero(ok)
-            near = near[np.argsort(-(common[near] / (size[r] + size[near] - common[near])), kind="stable")]
-            near = near[np.unique(label[near], return_index=True)[1]]  # the closest of each component joins it
-            pairs |= {(min(a, b), max(a, b)) for a, b in ((int(node[r]), int(node[k])) for k in near)}
-        found = sorted(pairs)
-        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+            near = np.flatnonzero((common > 0) & (part != part[r]) & (common >= least * (size[r] + size - common) - 1e-9))
+            for k in near[np.unique(part[near], return_index=True)[1]].tolist():
+                part[part == part[k]] = part[r]
+                a.append(int(node[r]))
+                b.append(int(node[k]))
+                apart -= 1
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return grouped.applyInArrow(compare, "a long, b long").distinct()
+    return grouped.applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -222,17 +229,18 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     met = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     edges = materialise(_verified(first, sets_of(met), least), "edges")
     labels = components(edges)
-    # what shares a bucket and is in two components: everyone outside the pivot's component against all others
+    # what shares a bucket and is in two components: everyone outside the largest of them against all
     label = F.coalesce("label", "node")
     placed = members.join(pivots.select("bucket"), "bucket", "left_semi").join(labels, "node", "left").select("bucket", "node", "layers", label.alias("label"))
-    parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    tops = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("most.label").alias("top"))
-    open_buckets = materialise(placed.join(tops, "bucket"), "open")
+    placed = materialise(placed, "placed")  # the groupings below don't stand on the join, so a hot bucket can be split there
+    parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(1, node))").alias("y"))
+    tops = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"))
+    # buckets of the same members are compared once
+    tops = tops.where("parts > 1").groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "most.label")).alias("one")).select("one.bucket", F.col("one.label").alias("top"))
+    open_buckets = materialise(placed.join(materialise(tops, "tops"), "bucket"), "open")
     if not open_buckets.isEmpty():
         sets = sets_of(open_buckets.select("node").distinct())
-        close = materialise(_close_in_blocks(open_buckets, sets, least), "close")
-        tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = materialise(_verified(close.join(tried, ["a", "b"], "left_anti"), sets, least), "more")
+        found = materialise(_links_in_blocks(open_buckets, sets, least), "more")
         if not found.isEmpty():
             edges = materialise(edges.union(found), "edges")
             labels = components(edges)
