@@ -6,8 +6,8 @@ so on.  A rank directory (set bits before each block of 512) finds an id's place
 the next level, so any id is read without decoding others.
 
 File: magic, header, document table, then for each level chunks, bitmap, directory.
-Files are written in ascending ``doc_id`` order (nulls first), each through a name of
-its own and then renamed, so that a repeated task leaves whole files only; a manifest
+Files are written in ascending ``doc_id`` order (nulls first; rows of one id by their text's hash),
+each through a name of its own and then renamed, so that a repeated task leaves whole files only; a manifest
 of the files that count is written by Spark.
 
 Nulls: a null text is the empty text; a null ``doc_id`` is written as null.  Empty
@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import bounded_batches, shared_dir, slices, texts_of
-from .tok import encoder
+from .tok import encoder, forget
 
 MAGIC = b"DACIDS01"
 WIDTHS = (8, 8, 8, 8)
 BLOCK = 512
+#: Ids after which a file is closed (whole documents); bounds what a task holds.
+FILE_TOKENS = 1_500_000
 _HEADER = struct.Struct("<8sqqqqq")  # magic, group, number in group, documents, ids, levels
 
 
@@ -89,6 +91,27 @@ class Codes:
             places = self._rank(k, places)
         return out.astype(np.uint32)
 
+    def between(self, start: int, stop: int) -> np.ndarray:
+        """The ids from ``start`` to ``stop``: a rank at the first place of each level, nothing else is decoded."""
+        out, own, shift = np.zeros(max(stop - start, 0), np.uint32), None, 0
+        for k, (chunk, bits, _) in enumerate(self.levels):
+            if stop <= start:
+                break
+            value = chunk[start:stop].astype(np.uint32) << np.uint32(shift)
+            if own is None:
+                out |= value
+            else:
+                out[own] |= value
+            low = start // 8
+            more = np.flatnonzero(np.unpackbits(bits[low : (stop + 7) // 8], bitorder="little")[start - 8 * low : stop - 8 * low])
+            if not len(more):
+                break
+            own = more if own is None else own[more]
+            shift += self.widths[k]
+            start = int(self._rank(k, np.array([start]))[0])
+            stop = start + len(more)
+        return out
+
     def all(self) -> np.ndarray:
         """Every id, level by level."""
         if not self.levels:
@@ -145,10 +168,11 @@ class File:
         self.codes = Codes(found)
 
     def document(self, k: int) -> np.ndarray:
-        return self.codes.at(np.arange(self.starts[k], self.starts[k] + self.counts[k]))
+        """The ids of the file's k-th document, read alone."""
+        return self.codes.between(int(self.starts[k]), int(self.starts[k] + self.counts[k]))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, file_tokens: int = 8_000_000) -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Write the files below ``path`` (a URI every executor can write to); the manifest.
 
     The manifest has a row per file that counts: group, number, n_docs, n_tokens, name.
@@ -156,7 +180,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # the text's hash splits rows of one id, or of none, between ranges
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    rows = docs.select("doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, group, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -213,17 +239,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(f"{path}/ids-*.dac").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 file = File(raw.as_buffer())
-                data, at = file.codes.all().astype("<u4").tobytes(), (4 * file.starts).tolist()
-                size = (4 * file.counts).tolist()
+                crc = [zlib.crc32(file.document(k).astype("<u4")) for k in range(len(file.counts))]
                 out = pa.RecordBatch.from_pydict({
-                    "name": pa.array([name] * len(at), pa.string()),
+                    "name": pa.array([name] * len(crc), pa.string()),
                     "doc_id": file.doc_ids,
                     "place": pa.array(file.starts, pa.int64()),
                     "n_tokens": pa.array(file.counts, pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(data[a : a + n]) for a, n in zip(at, size)], pa.int64()),
+                    "ids_crc32": pa.array(crc, pa.int64()),
                 })
                 for k in range(0, out.num_rows, 5000):
                     yield out.slice(k, 5000)

@@ -46,7 +46,7 @@ class Encoder:
     and learned again; results don't depend on it.
     """
 
-    def __init__(self, path: str | None = None, max_pieces: int = 1_500_000):
+    def __init__(self, path: str | None = None, max_pieces: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from public_tokenizers import PATTERN
@@ -60,7 +60,11 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
-        self.marks = {c: vocabulary[c] for c in _TAIL}
+        back = {c: b for b, c in self.letters.items()}
+        plain = (bytes(back[c] for c in t).decode("utf-8", "replace") for t in vocabulary if "\u0120" in t[1:] and all(c in back for c in t))
+        # words can be merged in a row only if no token has a blank after a letter (or after a letter's last bytes)
+        self.in_rows = not any(re.search("[^\\W\\d_] |\ufffd ", t) for t in plain)
+        self.marks = {c: vocabulary[c] for c in _TAIL if c in vocabulary}
         self.max_pieces = max_pieces
         self._forget()
 
@@ -85,8 +89,8 @@ class Encoder:
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of letters, each after a blank, and how many each has.
 
-        No token of the vocabulary has the blank's stand-in after a letter, so words
-        in a row can be merged in one call.
+        No token of the vocabulary has the blank's stand-in after a letter (``in_rows``), so
+        words in a row can be merged in one call.
         """
         ids: list[int] = []
         letters = (" " + " ".join(words)).encode().decode("latin-1").translate(self.letters) if words else ""
@@ -106,9 +110,11 @@ class Encoder:
         new = [p for p in pieces if p not in known]
         words, ended, rest = {}, [], []
         for p in new:
-            if p.isalpha() and _PLAIN.match(p):
+            if not self.in_rows:
+                rest.append(p)
+            elif p.isalpha() and _PLAIN.match(p):
                 words[p] = None
-            elif p[-1] in _TAIL and (q := p[:-1]).isalpha() and _PLAIN.match(q):
+            elif p[-1] in self.marks and (q := p[:-1]).isalpha() and _PLAIN.match(q):
                 ended.append(p)
                 if q not in known:
                     words[q] = None
@@ -192,3 +198,9 @@ def encoder(path: str | None) -> Encoder:
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path)
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Let the worker's encoders go, where no text is to be encoded next."""
+    _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()

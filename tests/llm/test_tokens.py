@@ -117,3 +117,22 @@ def test_filling_is_the_best(lengths, room):
     sums = {sum(c) for k in range(len(lengths) + 1) for c in itertools.combinations(lengths, k)}
     assert best == max(s for s in sums if s <= room) == sum(n * k for n, k in taken.items())
     assert all(k <= counts[n] for n, k in taken.items())
+
+
+def test_a_document_is_read_alone():
+    r = np.random.default_rng(2)
+    ids = r.choice([3, 200, 256, 70_000, 20_000_000], 5000).astype(np.uint32)
+    codes = dac.Codes(dac.encode_levels(ids))
+    for a, b in ((0, 0), (0, 1), (511, 513), (7, 4999), (4999, 5000), (0, 5000), (1024, 1024)):
+        assert codes.between(a, b).tolist() == ids[a:b].tolist()
+
+
+def test_words_go_one_by_one_where_tokens_span_them():
+    e = Encoder()
+    texts = pa.array(["one two, three four five", "à la carte é b"])
+    want = e.encode(texts)
+    assert e.in_rows
+    slow = Encoder()
+    slow.in_rows = False
+    got = slow.encode(texts)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
