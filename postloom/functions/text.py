@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,14 @@ from pyspark.sql import functions as F
 WHITE = "\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 _LINE = "\\n\\r\\u2028\\u2029"
 _BOL, _EOL = f"(?<![^{_LINE}])", f"(?![^{_LINE}])"
+#: What follows a host in a link, without the punctuation of the sentence around it.
+_PATH = "(?:[/?#](?:[^\\s<>\"']*[^\\s<>\"'.,;:!?)])?)?"
 MAX_TEXT = 65_536
+#: Endings of bare hosts: country codes, internationalised ones and the common generic ones; ``reduce_links`` takes a longer list.
+ENDINGS = (
+    "[a-z]{2}", "xn--[a-z0-9-]+", "com", "org", "net", "edu", "gov", "mil", "int", "arpa", "info", "biz", "name", "pro", "aero", "coop", "museum", "jobs", "mobi", "travel", "tel", "cat", "asia", "post", "onion",
+    "app", "dev", "page", "web", "site", "online", "store", "shop", "blog", "cloud", "email", "tech", "agency", "company", "digital", "global", "group", "media", "network", "news", "studio", "systems", "team", "tools", "top", "world", "xyz", "club", "link", "live", "space", "website", "wiki", "work", "zone",
+)
 
 
 def utf16_length(s: Column) -> Column:
@@ -49,16 +58,22 @@ def html_to_text(html: Column) -> Column:
     return F.regexp_replace(t, "^[ \\n]+|[ \\n]+$(?![\\s\\S])", "")
 
 
-def reduce_links(t: Column) -> Column:
-    """Links become scheme and host (with port); e-mail addresses a bare ``mailto://``; bare hosts get ``http://``."""
-    t = F.regexp_replace(t, "(?i)\\b((?:https?|ftp|git)://)(?:[^\\s/?#@]*@)?([a-z0-9\\[][a-z0-9.:\\[\\]-]*[a-z0-9\\]])(?:[/?#][^\\s<>\"']*)?", "$1$2")
+def reduce_links(t: Column, endings: Iterable[str] = ENDINGS) -> Column:
+    """Links become scheme and host (with port); e-mail addresses a bare ``mailto://``; bare hosts and IPv4 addresses get ``http://``.
+
+    ``endings`` are the top-level domains under which a bare host is a link, as patterns.
+    """
+    t = F.regexp_replace(t, "(?i)\\b((?:https?|ftp|git)://)(?:[^\\s/?#@]*@)?([a-z0-9\\[][a-z0-9.:\\[\\]-]*[a-z0-9\\]])" + _PATH, "$1$2")
     t = F.regexp_replace(t, "(?i)\\b(?:https?|ftp|git)://(?![a-z0-9\\[])[^\\s<>\"']*", " ")
     t = mask_emails(t)
-    return F.regexp_replace(t, "(?i)(?<![a-z0-9@./:_-])((?:[a-z0-9-]+\\.)+(?:com|org|net|edu|gov|io|dev|info|onion|de|fr|es|uk|ee))(?![a-z0-9.-])(?:/[^\\s<>\"']*)?", "http://$1")
+    part = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+    host = f"(?:[a-z0-9-]++\\.(?=[a-z0-9]))++(?:{'|'.join(endings)})(?!\\.?[a-z0-9-])|{part}(?:\\.{part}){{3}}(?!\\.?[a-z0-9-])"
+    return F.regexp_replace(t, f"(?i)(?<![a-z0-9@./:_-])((?:{host})(?::[0-9]{{1,5}})?){_PATH}", "http://$1")
 
 
 def mask_emails(t: Column) -> Column:
-    return F.regexp_replace(t, "(?i)(?:mailto:)?[a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)+", "mailto://")
+    own = "[a-z0-9._%+-]"  # a match begins where a run of these does, so that long runs stay linear
+    return F.regexp_replace(t, f"(?i)(?:mailto:|\\G|(?<!{own})){own}++@[a-z0-9-]++(?:\\.[a-z0-9-]++)++", "mailto://")
 
 
 def normal_newlines(t: Column) -> Column:
@@ -67,7 +82,9 @@ def normal_newlines(t: Column) -> Column:
 
 def strip_quotes(t: Column) -> Column:
     """Quoted lines go, with blank lines before them; then blank lines are emptied and runs of line ends shortened to two."""
-    t = F.regexp_replace(normal_newlines(t), f"{_BOL}[{WHITE}]*>[^{_LINE}]*", "")
+    # a run of blanks is read once: from the text's beginning, or from its first line end on
+    quoted = f"(?:\\A|(?:\\G|(?<![{WHITE}]))([{WHITE}&&[^{_LINE}]]*+[{_LINE}]))[{WHITE}]*+>[^{_LINE}]*+"
+    t = F.regexp_replace(normal_newlines(t), quoted, "$1")
     t = F.regexp_replace(t, f"{_BOL}[{WHITE}]+{_EOL}", "")
     return F.regexp_replace(t, "\\n\\n+", "\n\n")
 

@@ -64,10 +64,16 @@ def overlay(json_text: Column, req_id: Column, tokens: Column, model: Column) ->
     return F.map_concat(F.map_filter(own, lambda k, v: ~k.isin("id", "tokens", "model")), meta)
 
 
-def coerce_risk(risk: Column) -> Column:
-    """A number from JSON's text; what isn't one, and 0, is -1."""
+def json_kind(json_text: Column, path: str) -> Column:
+    """The type of a JSON text's member (``STRING``, ``BOOLEAN``, ...); null if there is none."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(json_text), path, "variant"))
+
+
+def coerce_risk(risk: Column, kind: Column | None = None) -> Column:
+    """A number from JSON's text; what isn't one, and 0, is -1.  Of kind ``STRING``, ``true`` isn't one."""
     t = js_trim(risk)
-    n = F.when(t == "true", F.lit(1.0)).when(t.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+    true = t == "true" if kind is None else (t == "true") & ~kind.eqNullSafe("STRING")
+    n = F.when(true, F.lit(1.0)).when(t.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
     return F.coalesce(F.nullif(n, F.lit(0.0)), F.lit(-1.0))
 
 

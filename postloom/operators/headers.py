@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -42,6 +42,12 @@ def allowed_keys(extra: Iterable[object] | str | None = None) -> list[str]:
     return list(dict.fromkeys(k for k in (str(x or "").strip().lower() for x in [*own, *ALLOWED]) if k))
 
 
+def listed(df: DataFrame, *names: str) -> DataFrame:
+    """Columns that hold a lone struct become lists of it (of nothing, if it is null)."""
+    lone = [n for n in names if isinstance(df.schema[n].dataType, StructType)]
+    return df.withColumns({n: F.when(F.col(n).isNotNull(), F.array(n)).otherwise(F.array()) for n in lone}) if lone else df
+
+
 def whitelist(headers: Column, allowed: Iterable[str] = ALLOWED) -> Column:
     keys = F.array(*(F.lit(k) for k in allowed))
     return F.filter(F.coalesce(headers, F.array()), lambda h: F.coalesce(F.array_contains(keys, h.key), F.lit(False)))
@@ -101,6 +107,15 @@ def parse_addresses(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda v: [{"name": _decode(n), "address": _address(a)} for n, a in getaddresses([_ungrouped(v)]) if n or a] if v else [])
 
 
+@F.pandas_udf(_ADDRESSES)
+def parse_address_lists(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """As ``parse_addresses`` over lists of header values, each parsed on its own."""
+    from email.utils import getaddresses
+
+    for s in values:
+        yield s.map(lambda vs: [{"name": _decode(n), "address": _address(a)} for v in (() if vs is None else vs) if v for n, a in getaddresses([_ungrouped(v)]) if n or a])
+
+
 def _ungrouped(value: str) -> str:
     """``label: a, b;`` as ``a, b``."""
     import re

@@ -6,7 +6,7 @@ Each prompt is worded here; what it asks for is the answer format of ``schemas``
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,11 +65,10 @@ class Options:
     user: str | None = None
     allowed_headers: object = None
     chunk: int = T.CHUNK
-    verbose: bool = False
+    verbose: bool | str = False  # results have request_id and text_used, and workers log requests and answers; "columns": without the log
+    tokenizer: str | None = None  # a vocabulary file that workers can read; the pattern otherwise
     as_of: str | None = None
     old_count: bool = False
-    strict: bool = False
-    numbers: dict = field(default_factory=dict)
 
     def model_or(self, default: str) -> str:
         return self.model or default

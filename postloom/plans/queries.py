@@ -13,6 +13,7 @@ from ..operators import answers as A
 from ..operators import catalogue as C
 from ..operators import headers as H
 from ..operators import prompts as P
+from ..schemas import ATTACHMENTS
 from ..sources import mail
 from ..sources.client import FakeClient, call
 from . import pipelines
@@ -204,8 +205,8 @@ def preamble(spark, sf_dir):
 
 @query("""SELECT page_id, 'See ' || regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || ', ftp://files.example.com:2121 and http://www.example.org or mailto:// now' AS reduced FROM pages""")
 def link_reduce(spark, sf_dir):
-    t = F.concat(F.lit("See "), F.col("url"), F.lit(" , ftp://me:pw@files.example.com:2121/a?b#c and www.example.org/x/y or Ann.B@mail.example.com now"))
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(X.reduce_links(t), " ,", ",").alias("reduced"))
+    t = F.concat(F.lit("See "), F.col("url"), F.lit(", ftp://me:pw@files.example.com:2121/a?b#c and www.example.org/x/y or Ann.B@mail.example.com now"))
+    return table(spark, sf_dir, "pages").select("page_id", X.reduce_links(t).alias("reduced"))
 
 
 @query("SELECT doc_id, regexp_replace(text, '(?i)(?:mailto:)?[a-z0-9._%+-]+@[a-z0-9-]+(?:\\.[a-z0-9-]+)+', 'mailto://', 'g') AS masked FROM documents")
@@ -343,7 +344,7 @@ def payload_routing(spark, sf_dir):
 _URLS = [
     (None, "/v1/models", "https://api.openai.com/v1/models"), ("https://api.example.com", "/v1/models", "https://api.example.com/v1/models"), ("https://api.example.com/", "/v1/models", "https://api.example.com/v1/models"),
     ("https://api.example.com/v1", "/v1/models", "https://api.example.com/v1/models"), ("https://api.example.com/v1/", "/v1/models", "https://api.example.com/v1/models"), ("https://r.example.com/base/v1", "/v1/chat/completions", "https://r.example.com/base/v1/chat/completions"),
-    ("http://127.0.0.1:11434/v1", "/v1/embeddings", "http://127.0.0.1:11434/v1/embeddings"), ("https://api.example.com/proxy", "/v1/models", "https://api.example.com/proxy/v1/models"), ("https://api.example.com/v1", "/v1beta/x", "https://api.example.com/v1/v1beta/x"),
+    ("http://127.0.0.1:9200/v1", "/v1/embeddings", "http://127.0.0.1:9200/v1/embeddings"), ("https://api.example.com/proxy", "/v1/models", "https://api.example.com/proxy/v1/models"), ("https://api.example.com/v1", "/v1beta/x", "https://api.example.com/v1/v1beta/x"),
     ("https://api.example.com/xv1", "/v1/models", "https://api.example.com/xv1/v1/models"), ("https://api.example.com/v1", None, "https://api.example.com/v1/"), ("https://api.example.com/v1", "/v1", "https://api.example.com/v1/"),
 ]
 
@@ -446,49 +447,256 @@ def metadata_overlay(spark, sf_dir):
 # --- with a client ---------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, CAST(CASE WHEN source = 'src1' THEN 5 ELSE 1 END AS BIGINT) AS attempts, CASE source WHEN 'src1' THEN 'slow down' WHEN 'src2' THEN 'broken' WHEN 'src3' THEN 'Failed to run API request' WHEN 'src4' THEN 'Failed to POST API request' END AS message, CASE source WHEN 'src1' THEN 429 WHEN 'src2' THEN 500 WHEN 'src3' THEN 503 END AS status, CASE source WHEN 'src2' THEN 'E1' END AS code FROM documents")
+@query("""SELECT doc_id, CAST(CASE WHEN source = 'src1' THEN 5 ELSE 1 END AS BIGINT) AS attempts, CASE source WHEN 'src1' THEN 'slow down' WHEN 'src2' THEN 'broken' WHEN 'src3' THEN 'Failed to run API request' WHEN 'src4' THEN 'Failed to POST API request' WHEN 'src5' THEN 'Expecting value: line 1 column 1 (char 0)' END AS message,
+CASE source WHEN 'src1' THEN 429 WHEN 'src2' THEN 500 WHEN 'src3' THEN 503 END AS status, CASE source WHEN 'src2' THEN 'E1' END AS code, TRUE AS timed FROM documents""")
 def error_rows(spark, sf_dir):
-    """Retries, structured, generic and empty-body errors as rows."""
+    """Retries, structured, generic, empty-body and undecodable errors as rows, each with its time."""
     script = {
         '"src1"': (429, '{"error":{"message":"slow down"}}'), '"src2"': (500, '{"error":{"message":"broken","code":"E1"}}'),
-        '"src3"': (503, "{}"), '"src4"': (200, "null"),
+        '"src3"': (503, "{}"), '"src4"': (200, "null"), '"src5"': (429, "busy"),
     }
     rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(P.CHAT).alias("path"), F.to_json(F.struct(F.col("source").alias("s"))).alias("body"))
     sent = call(rows, lambda: FakeClient(script), ["doc_id"], wait=0.0)
-    return sent.select("doc_id", long(F.col("attempts")).alias("attempts"), F.col("error.message").alias("message"), F.col("error.statusCode").alias("status"), F.col("error.code").alias("code"))
+    return sent.select("doc_id", long(F.col("attempts")).alias("attempts"), F.col("error.message").alias("message"), F.col("error.statusCode").alias("status"), F.col("error.code").alias("code"), (F.col("time_ms") >= 0).alias("timed"))
 
 
-def _flat(df: DataFrame) -> DataFrame:
-    return df.drop("time_ms")
+SOURCES = 20
 
 
-@query()
+def _scripted(reply: Callable[[int], tuple[int, str]]) -> Callable[[], FakeClient]:
+    """A client whose answer depends on the attachment's name, ``src<k>.txt``, in the request."""
+    script = {f"src{k}.txt": reply(k) for k in range(SOURCES)}
+    return lambda: FakeClient(script)
+
+
+def _chat(*parts: str, n: int = 7) -> str:
+    """A chat answer with these choices, the last of them first in the list."""
+    import json
+
+    choices = [{"index": k, "message": {"role": "assistant", "content": t}} for k, t in enumerate(parts)]
+    return json.dumps({"id": "r1", "choices": choices[::-1], "usage": {"total_tokens": n}})
+
+
+_K = "CAST(substr(source, 4) AS INT) % 4"
+#: The text of a document without anything that a link is found by.
+_NO_LINKS = "translate(text, '.@:/', '    ')"
+
+
+def _plain_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without pages, whose texts have no links and no quotes."""
+    docs = table(spark, sf_dir, "documents")
+    item = F.array(F.struct(F.concat(F.col("source"), F.lit(".txt")).alias("filename"), F.lit("text/plain").alias("contentType")))
+    return docs.select(F.col("doc_id").cast("string").alias("message_id"), _headers().alias("headers"), item.alias("attachments"), F.translate("text", ".@:/>", "     ").alias("text"), F.lit(None).cast("string").alias("html"))
+
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS message_id, CASE WHEN k < 3 THEN 'r1' END AS req_id, CAST(CASE WHEN k < 3 THEN 7 END AS BIGINT) AS tokens, 'gpt-5-mini' AS model, CASE k WHEN 0 THEN 'neutral' END AS sentiment, CASE k WHEN 0 THEN 'About ' || source WHEN 1 THEN 'bare' END AS summary,
+CASE k WHEN 0 THEN TRUE END AS reply, CASE k WHEN 0 THEN 2 END AS risk, CASE k WHEN 0 THEN 'fine' END AS assessment, CAST(CASE k WHEN 0 THEN 1 END AS BIGINT) AS n_events, CASE k WHEN 0 THEN 'call' END AS action,
+CASE k WHEN 2 THEN 'Failed to parse output' WHEN 3 THEN 'denied' END AS message, CASE k WHEN 2 THEN 'OutputParseFailed' END AS code, CASE k WHEN 3 THEN 401 END AS status, CASE k WHEN 1 THEN '{{"summary":"bare"}}' END AS raw, 0 AS chars_removed FROM (SELECT *, {_K} AS k FROM documents)""")
 def summarize(spark, sf_dir):
-    return _flat(pipelines.summarize(messages(spark, sf_dir), FakeClient)).drop("events", "actions")
+    """JSON in prose over two choices; nulls pruned; no JSON; a refusal."""
+
+    def reply(k: int) -> tuple[int, str]:
+        whole = f'{{"sentiment":"neutral","summary":"About src{k}","shouldReply":true,"riskAssessment":{{"risk":2,"assessment":"fine"}},"replyText":"","events":[{{"description":"meet"}}],"actions":[{{"description":"call","dueDate":null}}]}} Done.'
+        return [(200, _chat("Here: " + whole[:40], whole[40:])), (200, _chat('{"summary":"bare","replyText":null}')), (200, _chat("No idea.")), (401, '{"error":{"message":"denied"}}')][k % 4]
 
+    out = pipelines.summarize(messages(spark, sf_dir), _scripted(reply))
+    return out.select(
+        "message_id", "req_id", "tokens", "model", "sentiment", "summary", F.col("shouldReply").alias("reply"), "riskAssessment.risk", "riskAssessment.assessment", long(F.nullif(F.size("events"), F.lit(-1))).alias("n_events"), F.get("actions", F.lit(0)).description.alias("action"),
+        F.col("error.message").alias("message"), F.col("error.code").alias("code"), F.col("error.statusCode").alias("status"), F.when(F.col("summary") == "bare", F.col("raw_json")).alias("raw"), "chars_removed",
+    )
 
-@query()
+
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS message_id, CASE k5 WHEN 0 THEN 3.0 WHEN 1 THEN -1.0 WHEN 2 THEN 1.0 WHEN 3 THEN -1.0 END::DOUBLE AS risk, CASE WHEN k5 < 4 THEN 'a' END AS assessment, CASE k5 WHEN 4 THEN 'no json' END AS said, CASE k5 WHEN 4 THEN 'OutputParseFailed' END AS code, 0 AS chars_removed
+FROM (SELECT doc_id, CAST(substr(source, 4) AS INT) % 5 AS k5 FROM documents)""")
 def assess_risk(spark, sf_dir):
-    return _flat(pipelines.assess_risk(messages(spark, sf_dir), FakeClient))
+    """Chat choices alone count, over lines, without quotation marks at the ends; strict JSON; odd numbers."""
+    import json
+
+    def reply(k: int) -> tuple[int, str]:
+        values = ['"{"risk":\n"3","assessment":"a"}"', '{"risk":"true","assessment":"a"}', '{"risk":true,"assessment":"a"}', '{"risk":"high","assessment":"a"}', "no json"]
+        parts = values[k % 5].split("\n")
+        choices = [{"index": i, "message": {"role": "assistant", "content": t}} for i, t in enumerate(parts)]
+        return 200, json.dumps({"id": "r", "choices": [{"index": 9, "text": "not chat"}, *choices], "usage": {"total_tokens": 1}})
+
+    out = pipelines.assess_risk(messages(spark, sf_dir), _scripted(reply))
+    return out.select("message_id", "risk", "assessment", F.col("error.textContent").alias("said"), F.col("error.code").alias("code"), "chars_removed")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").cast("string").alias("message_id"), F.when(F.col("doc_id") % 10 > 0, F.concat(F.lit("What of "), "source")).alias("question"), F.lit("Ann").alias("user_name"), F.lit(None).cast("string").alias("user_email"), F.concat(F.lit("- EMAIL #1:\nMessage-ID: <a@x>\n\n"), "text").alias("context"))
+    return docs.select(F.col("doc_id").cast("string").alias("message_id"), F.when(F.col("doc_id") % 10 > 0, F.concat(F.lit("What of "), "source", F.lit(".txt"))).alias("question"), F.lit("Ann").alias("user_name"), F.lit(None).cast("string").alias("user_email"), F.concat(F.lit("- EMAIL #1:\nMessage-ID: <a@x>\n\n"), "text").alias("context"))
 
 
-@query()
+@query(f"""SELECT CAST(doc_id AS VARCHAR) AS message_id, CASE WHEN asked THEN 'newer_first' END AS ordering, CASE WHEN asked AND k % 2 = 0 THEN '2024-01-02' END AS start_time, CAST(NULL AS VARCHAR) AS end_time, CASE WHEN asked THEN source END AS topic, CASE WHEN NOT asked THEN 'EmptyInput' END AS code, 'gpt-3.5-turbo-instruct' AS model
+FROM (SELECT doc_id, source, {_K} AS k, doc_id % 10 > 0 AS asked FROM documents)""")
 def plan_question(spark, sf_dir):
-    return _flat(pipelines.plan_question(_questions(spark, sf_dir), FakeClient))
+    import json
 
+    def reply(k: int) -> tuple[int, str]:
+        start = '"2024-01-02"' if k % 2 == 0 else "null"
+        return 200, json.dumps({"id": "r", "choices": [{"text": f'So: {{"ordering":"newer_first","start_time":{start},"end_time":"","topic":"src{k}"}}'}]})
 
-@query()
+    out = pipelines.plan_question(_questions(spark, sf_dir), _scripted(reply))
+    return out.select("message_id", "ordering", "start_time", "end_time", "topic", F.col("error.code").alias("code"), "model")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS message_id, CASE WHEN doc_id % 10 = 0 THEN 'nothing' ELSE 'It is ' || source || chr(10) || 'and so' END AS answer, CASE WHEN doc_id % 10 > 0 THEN '<' || source || '@x> <b@x>' END AS ids, CASE WHEN doc_id % 10 > 0 THEN 'r1' ELSE 'r2' END AS req_id, 'gpt-5-mini' AS model FROM documents""")
 def answer(spark, sf_dir):
-    out = _flat(pipelines.answer(_questions(spark, sf_dir), FakeClient))
-    return out.withColumn("messageId", F.array_join("messageId", " "))
+    """Labelled answers; a question that is empty is asked all the same."""
+    script = {f"src{k}.txt": (200, _chat(f"**Answer:** It is src{k}\nand so\n\nMessage-ID: <src{k}@x>, <b@x>,\nmessage-id: <b@x>")) for k in range(SOURCES)}
+    script["user"] = (200, _chat("Answer: nothing").replace("r1", "r2"))
+    out = pipelines.answer(_questions(spark, sf_dir), lambda: FakeClient(script))
+    return out.select("message_id", "answer", F.array_join("messageId", " ").alias("ids"), "req_id", "model")
+
+
+def _embedded_sql() -> str:
+    t = "regexp_replace(regexp_replace(trim(translate(text, '.@:/>', '     '), ' ' || chr(10) || chr(9) || chr(13)), '(?m)^\\s+$', '', 'g'), '\\n\\n+', chr(10) || chr(10), 'g')"
+    front = "'from: Desk <desk@example.com>' || chr(10) || 'subject: Document ' || doc_id || chr(10) || 'attachments: ' || source || '.txt' || chr(10) || chr(10)"
+    return f"""d AS (SELECT doc_id, source, {front} AS front, {t} AS t FROM documents), k AS (SELECT doc_id, source, front, t, {_TOKENS.format('t')} AS tok, greatest(200, 400 - len({_TOKENS.format('front')})) AS size FROM d),
+i AS (SELECT *, unnest(CASE WHEN t = '' THEN [0] ELSE range(0, len(tok), size) END) AS pos FROM k), c AS (SELECT doc_id, source, CAST(floor(pos / size) AS INT) AS chunk_no, front || array_to_string(list_slice(tok, pos + 1, pos + size), '') AS chunk FROM i)"""
 
 
-@query()
+_BYTES = " || ' ' || ".join(f"CAST(CAST('0x' || substr(h, {2 * k + 1}, 2) AS INT) AS VARCHAR)" for k in range(8))
+
+
+@query(f"""WITH {_embedded_sql()}, e AS (SELECT *, sha256('/v1/embeddings' || chr(10) || '{{"model":"text-embedding-ada-002","input":' || to_json(chunk) || '}}') AS h FROM c)
+SELECT CAST(doc_id AS VARCHAR) AS message_id, chunk_no, chunk, {_BYTES} AS embedding, 'text-embedding-ada-002' AS model, CAST(NULL AS VARCHAR) AS message FROM e""")
 def embed_chunks(spark, sf_dir):
-    out = _flat(pipelines.embed(messages(spark, sf_dir), FakeClient))
-    return out.withColumn("embedding", F.array_join(F.transform("embedding", lambda x: F.round(x, 6).cast("string")), " "))
+    """A call a chunk; the vector's numbers are 255ths, shown as such."""
+    out = pipelines.embed(_plain_messages(spark, sf_dir), FakeClient)
+    shown = F.array_join(F.transform("embedding", lambda x: F.round(x * 255).cast("int").cast("string")), " ")
+    return out.select("message_id", "chunk_no", "chunk", shown.alias("embedding"), "model", F.col("error.message").alias("message"))
+
+
+@query(f"WITH {_embedded_sql()} SELECT CAST(doc_id AS VARCHAR) AS message_id, CAST(CASE WHEN source <> 'src3' THEN count(*) END AS BIGINT) AS n, CASE source WHEN 'src3' THEN 'denied' END AS message FROM c GROUP BY doc_id, source")
+def embed_nested(spark, sf_dir):
+    """All chunks of a message in one list; a failed chunk fails its message."""
+    out = pipelines.nest(pipelines.embed(_plain_messages(spark, sf_dir), lambda: FakeClient({"src3.txt": (401, '{"error":{"message":"denied"}}')})))
+    return out.select("message_id", long(F.when(F.col("embeddings").isNotNull(), F.size("embeddings"))).alias("n"), F.col("error.message").alias("message"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS message_id, 'PROMPT_TOO_LONG' AS code, least(length(text), 50000) AS original, greatest(least(length(text), 50000) - 1, 0) AS removed, 20 AS allowed, 0 AS attempts FROM documents""")
+def budget_errors(spark, sf_dir):
+    """No text fits: every row is refused with its figures, and nothing is sent."""
+    rows = _plain_messages(spark, sf_dir).withColumn("text", F.substring("text", 1, 50_000))
+    out = pipelines.summarize(rows, lambda: FakeClient({"model": (500, "sent")}), P.Options(max_tokens=20))
+    return out.select("message_id", F.col("error.code").alias("code"), F.col("error.originalLength").alias("original"), F.col("error.charactersRemoved").alias("removed"), F.col("error.maxAllowedTokens").alias("allowed"), F.col("time_ms").cast("int").alias("attempts"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS message_id, CAST(greatest(3 * length(text) - 65536, 0) AS INT) AS chars_removed, md5(substr(t, 1, 65536)) AS text_used, 12 AS id_length, TRUE AS own_id FROM (SELECT doc_id, text, repeat(translate(text, '.@:/>', '     '), 3) AS t FROM documents)""")
+def verbose_result(spark, sf_dir):
+    """What a verbose call tells: the text that was used, how much went, and a request id of its own."""
+    from pyspark.sql import Window
+
+    rows = _plain_messages(spark, sf_dir).withColumn("text", F.repeat("text", 3))
+    out = pipelines.assess_risk(rows, FakeClient, P.Options(max_tokens=10_000_000, verbose="columns"))
+    return out.select("message_id", "chars_removed", F.md5("text_used").alias("text_used"), F.length("request_id").alias("id_length"), (F.count("*").over(Window.partitionBy("request_id")) == 1).alias("own_id"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 0.2 WHEN 1 THEN 0.7 ELSE 0.2 END::DOUBLE AS temperature, 'instructions' || chr(10) || 'ask ' || source || chr(10) AS asked, CAST(4000 - 3 AS BIGINT) AS room, 'EmptyInput' AS empty, '/v1/completions' AS path FROM documents""")
+def question_payload(spark, sf_dir):
+    """Temperature 0.2 unless chosen, trimmed prompts, an empty question refused."""
+    docs = table(spark, sf_dir, "documents")
+    out = None
+    for k, chosen in enumerate((None, "0.7", 0)):
+        path, body = P.payload(F.concat(F.lit("ask "), "source", F.lit("\n")), F.lit(3), " instructions ".strip(), P.INSTRUCT_MODEL, P.Options(temperature=chosen), 0.2)
+        part = docs.where(F.col("doc_id") % 3 == k).select("doc_id", path.alias("path"), body.alias("body"))
+        out = part if out is None else out.union(part)
+    blank = spark.createDataFrame([("1", " \n", None, None, None)], "message_id string, question string, user_name string, user_email string, context string")
+    code = pipelines.prepare_question(blank).select(F.col("refused.code").alias("empty"))
+    return out.crossJoin(F.broadcast(code)).select("doc_id", F.get_json_object("body", "$.temperature").cast("double").alias("temperature"), F.get_json_object("body", "$.prompt").alias("asked"), F.get_json_object("body", "$.max_tokens").cast("long").alias("room"), "empty", "path")
+
+
+@query("SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN trim(source || ',' || lang || ', ', ' ') ELSE trim('  ' || source || chr(10), ' ' || chr(10)) END AS context FROM documents")
+def context_text(spark, sf_dir):
+    """A list of contexts is joined by commas; then it is trimmed."""
+    many = P.context_text(F.array("source", "lang", F.lit(" ")), True)
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, many).otherwise(P.context_text(F.concat(F.lit("  "), "source", F.lit("\n")))).alias("context"))
+
+
+@query("""SELECT c_custkey, 'from: ' || c_name || ' <c' || c_custkey || '@example.com>' || chr(10) || 'to: Ann <ann@example.com> ; <two@example.com> ; Bob <bob@example.com> ; <hidden@example.com>' || chr(10) || chr(10) || lower(c_mktsegment) AS chunk FROM customer""")
+def address_collect(spark, sf_dir):
+    """from alone; to, cc and bcc together in their order; each header is parsed by itself, so a broken one spoils no other."""
+    head = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
+    own = F.concat(F.lit('"'), "c_name", F.lit('" <c'), "c_custkey", F.lit("@example.com>"))
+    heads = F.array(head("from", own), head("to", F.lit("Ann <ann@example.com>, two@example.com")), head("cc", F.lit("Bob <bob@example.com>")), head("cc", F.lit("")), head("bcc", F.lit("hidden@example.com")))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("message_id"), heads.alias("headers"), F.lit(None).cast(ATTACHMENTS).alias("attachments"), F.lower("c_mktsegment").alias("text"), F.lit(None).cast("string").alias("html"))
+    return pipelines.chunk(rows).select(F.col("message_id").cast("long").alias("c_custkey"), "chunk")
+
+
+@query("""SELECT doc_id, '{"headers":[{"key":"subject","value":"' || source || '"}],"attachments":[' || CASE WHEN doc_id % 2 = 0 THEN '{"filename":"a.txt","contentType":"text/plain"}' ELSE '' END || '],"text":"x"}' AS content FROM documents""")
+def lone_objects(spark, sf_dir):
+    """A lone header or attachment is a list of one; none is an empty list."""
+    item = F.struct(F.lit("a.txt").alias("filename"), F.lit("text/plain").alias("contentType"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.struct(F.lit("subject").alias("key"), F.col("source").alias("value")).alias("headers"), F.when(F.col("doc_id") % 2 == 0, item).alias("attachments"))
+    rows = H.listed(rows, "headers", "attachments")
+    return rows.select("doc_id", P.content_json(H.first_wins(H.whitelist(F.col("headers"))), H.attachments(F.col("attachments")), F.lit("x")).alias("content"))
+
+
+@query("""SELECT c_custkey, 'at http://10.20.30.' || (c_custkey % 250) || ':8080 or http://a' || c_custkey || '.example.travel, http://sub.example.ee. Not 1.2.3, 300.1.1.1, x.notanending, 1.2.3.4.5 or file.' AS reduced FROM customer""")
+def link_bare_hosts(spark, sf_dir):
+    """Addresses of numbers, ports, and endings beyond the usual ones."""
+    k = F.col("c_custkey")
+    t = F.concat(F.lit("at 10.20.30."), (k % 250).cast("string"), F.lit(":8080/x?y or a"), k.cast("string"), F.lit(".example.travel/p, sub.example.ee. Not 1.2.3, 300.1.1.1, x.notanending, 1.2.3.4.5 or file."))
+    return table(spark, sf_dir, "customer").select("c_custkey", X.reduce_links(t).alias("reduced"))
+
+
+_LISTED = [{"id": i} | ({"owned_by": o} if o else {}) for i, o, _, _ in _MODELS]
+
+
+@query(_NAMED.replace("id, name, rank", "id, name, place"))
+def model_list(spark, sf_dir):
+    """The catalogue from an API's answer."""
+    import json
+
+    from pyspark.sql import Window
+
+    from ..sources.models import list_models
+
+    rows = list_models(spark, FakeClient({"": (200, json.dumps({"data": _LISTED}))}))
+    return rows.select("id", "name", long(F.row_number().over(Window.orderBy(*C.order_keys(F.col("id"))))).alias("place"))
+
+
+def _mail_folder(spark: SparkSession) -> str:
+    """A new folder with six messages, two of them deeper and one with an ending in capitals, and a file that is none."""
+    from uuid import uuid4
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/mail-{uuid4().hex}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = ["a.eml", "b.EML", "c.eml", "d/e.eml", "d/f/g.eml", "h.eml", "i.txt"]
+    for k, name in enumerate(names):
+        out = store.create(spark._jvm.org.apache.hadoop.fs.Path(path, name))
+        out.write(bytearray(f"From: Desk <desk@example.com>\r\nSubject: number {k}\r\nContent-Type: text/plain; charset=utf-8\r\n\r\nbody {k}\n".encode()))
+        out.close()
+    return path.toString()
+
+
+@query("SELECT 'number ' || n AS subject, 'body ' || n || chr(10) AS text, 'eml' AS ending FROM range(6) t(n)")
+def eml_folder(spark, sf_dir):
+    """All messages below a folder, whatever the case of their endings."""
+    rows = mail.read_eml(spark, _mail_folder(spark))
+    return rows.select(H.last_subject(F.col("headers")).alias("subject"), "text", F.lower(F.element_at(F.split("message_id", "\\."), -1)).alias("ending"))
+
+
+@query("SELECT * FROM (VALUES ('all', 6, 6), ('two', 2, 2), ('minus', 3, 3), ('word', 6, 6), ('zero', 6, 6), ('many', 6, 6)) t(what, n, different)")
+def eml_shuffle_limit(spark, sf_dir):
+    """A seeded shuffle loses and repeats nothing; the limit's sign is dropped, and what isn't a number is no limit."""
+    path, out = _mail_folder(spark), None
+    for what, most in (("all", None), ("two", 2), ("minus", "-3"), ("word", "x"), ("zero", 0), ("many", 99)):
+        part = mail.read_eml(spark, path, seed=7, most=most).agg(F.lit(what).alias("what"), F.count("*").cast("int").alias("n"), F.count_distinct("message_id").cast("int").alias("different"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS message_id, CASE WHEN k <> 3 THEN 'bare' END AS summary, CASE k WHEN 3 THEN 'denied' END AS message, CASE k WHEN 3 THEN 401 END AS status FROM (SELECT doc_id, {_K} AS k FROM documents)")
+def json_sink(spark, sf_dir):
+    """Results written as JSON and read back: failed rows are kept with their errors."""
+    from uuid import uuid4
+
+    out = pipelines.summarize(_plain_messages(spark, sf_dir), _scripted(lambda k: (401, '{"error":{"message":"denied"}}') if k % 4 == 3 else (200, _chat('{"summary":"bare"}'))))
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/results-{uuid4().hex}"
+    mail.write_json(out.select("message_id", "summary", "error"), path)
+    back = spark.read.schema("message_id string, summary string, error struct<message:string,statusCode:int>").json(path)
+    return back.select("message_id", "summary", F.col("error.message").alias("message"), F.col("error.statusCode").alias("status"))

@@ -1,6 +1,6 @@
 import json
 import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
 
 import pytest
 from hypothesis import given, settings
@@ -237,3 +237,102 @@ def test_streams(spark, tmp_path):
     stream = ingest.read_messages(spark, str(tmp_path / "in"))
     ingest.run(stream, lambda df: pipelines.summarize(df, FakeClient), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+VOCABULARY = "public_tokenizers"
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pytest.importorskip(VOCABULARY).path("byte_bpe_50k.json")
+
+
+def test_chunks_with_a_vocabulary(spark, vocabulary):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary)
+    size = lambda s: len(t.encode(s, add_special_tokens=False).ids)
+    text, front = " ".join(f"wörd{k}, and 日本 x" for k in range(700)), "subject: s\n\n"
+    rows = frame(spark, message(text=text, headers=[("subject", "s")]), message(message_id="e", headers=[("subject", "s")]), message(message_id="q", text="> all quoted", headers=[("subject", "s")]))
+    got = pipelines.chunk(rows, 400, vocabulary).collect()
+    bodies = [r.chunk.removeprefix(front) for r in sorted(got, key=lambda r: r.chunk_no) if r.message_id == "m"]
+    ids, n = t.encode(text, add_special_tokens=False).ids, 400 - size(front)
+    assert bodies == [t.decode(ids[k : k + n], skip_special_tokens=False) for k in range(0, len(ids), n)] and len(bodies) > 5
+    assert [r.chunk for r in got if r.message_id == "e"] == [front] and not [r for r in got if r.message_id == "q"]
+
+
+@pytest.mark.parametrize("old", [False, True])
+def test_budgets_with_a_vocabulary(spark, vocabulary, old):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary)
+    size = lambda s: len(t.encode(s, add_special_tokens=False).ids)
+    texts = ["short", 'say "what"\n' * 400, "wörd 😀 " * 900, ""]
+    o = P.Options(max_tokens=700, tokenizer=vocabulary, old_count=old)
+    rows = frame(spark, *(message(message_id=str(k), text=x) for k, x in enumerate(texts)))
+    got = {r.message_id: r for r in pipelines.prepare_risk(rows, o).collect()}
+    for k, text in enumerate(texts):
+        r = got[str(k)]
+        assert r.refused is None and r.n_tokens == size(r.prompt) <= 700 and text.startswith(r.text_used)
+        units, removed = len(text.encode("utf-16-le")) // 2, 0
+        while True:
+            cut = text.encode("utf-16-le")[: 2 * units].decode("utf-16-le", "ignore")
+            if size(P.RISK_USER + "\n\n" + json.dumps({"headers": [], "attachments": [], "text": cut}, ensure_ascii=False, separators=(",", ":"))) <= 700:
+                break
+            d = 1024 if units > 2048 else 256 if units > 512 else 100 if units > 200 else 10 if units > 20 else 1
+            units, removed = units - d, removed + (255 if old and d == 256 else d)
+        assert (r.text_used, r.chars_removed) == (cut, removed)
+    refused = pipelines.summarize(rows, FakeClient, P.Options(max_tokens=5, tokenizer=vocabulary)).collect()
+    assert {(r.error.code, r.error.maxAllowedTokens) for r in refused} == {("PROMPT_TOO_LONG", 5)}
+
+
+def test_a_connection_is_kept(monkeypatch):
+    class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            ports.append(self.client_address[1])
+            self.send_response(200)
+            self.send_header("Content-Length", "8")
+            self.end_headers()
+            self.wfile.write(b'{"ok":1}')
+            if len(ports) == 3:
+                self.close_connection = True
+
+        def log_message(self, *a):
+            pass
+
+    ports = []
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = HttpClient(f"http://127.0.0.1:{server.server_port}/v1")
+    assert [run_one(client, P.CHAT, "{}")["error"] for _ in range(5)] == [None] * 5
+    assert len(set(ports[:3])) == 1 and len(set(ports[3:])) == 1 and ports[0] != ports[3]
+    client._kept.__dict__.clear()
+    server.shutdown()
+
+
+def test_diagnostics(caplog):
+    from postloom.sources import client as module
+
+    with caplog.at_level("INFO", "postloom.calls"):
+        out = module.told(FakeClient({"{}": (500, '{"error":"no"}')}), "/x", "{}", 0.0)
+    logged = [json.loads(r.getMessage()) for r in caplog.records]
+    assert [x["requestId"] for x in logged] == [out["request_id"]] * 2 and logged[0]["payload"] == "{}" and logged[1]["error"]["message"] == "no"
+
+
+def test_long_runs_stay_linear(spark):
+    import time
+
+    hard = ["\n" * 60_000 + "x", "a@" + "b." * 60_000 + "c", "a." * 60_000, "x" * 120_000 + "@", " " * 60_000 + "\n" + " " * 60_000]
+    began = time.time()
+    for s in hard:
+        one(spark, F.length(X.strip_quotes(F.lit(s))) + F.length(X.reduce_links(F.lit(s))))
+    assert time.time() - began < 40
+    assert one(spark, X.strip_quotes(F.lit("a \n \n > q\n  > r\nb\n\n"))) == "a \n\nb\n"
+
+
+def test_the_word_true_is_no_number(spark):
+    kind = lambda j: A.json_kind(F.lit(j), "$.risk")
+    assert one(spark, A.coerce_risk(F.lit("true"), kind('{"risk":"true"}'))) == -1.0 and one(spark, A.coerce_risk(F.lit("true"), kind('{"risk":true}'))) == 1.0
