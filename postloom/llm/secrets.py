@@ -52,41 +52,55 @@ _JWT = re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(?P<jwt>eyJ[A-Za
 #: A text without any of these has no candidate (for Arrow's engine; Python folds the dotted and dotless i with i).
 MAY = rf"(?i)(?:{NAMES.replace('i', '[iİı]')})|[A-Za-z0-9+/_-]{{20}}|-----BEGIN|xox[abprs]-|eyJ"
 KINDS = ("value", "known", "pem", "run")
-_LETTERS = re.compile(r"[a-z]{3,}")
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
 OUT = "doc_id long, kind string, start long, end long, secret_sha256 string, score double, is_secret boolean"
 
 
 def corpus_words(docs: DataFrame, size: int = DICTIONARY) -> list[tuple[str, int]]:
-    """The words in lower-case letters that are frequent enough in all documents that at most ``size`` are, with their counts."""
+    """The words of three letters or more that are frequent enough in all documents that at most ``size`` are, with their counts.
+
+    The least count is found from a histogram of the counts' logarithms and, within the one step
+    where ``size`` is passed, from the different counts there: few rows, whatever the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 12_000_000):
-            flat = pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts_of(batch, "text")), "\n", " "), " ").flatten()
+            flat = pc.split_pattern(pc.replace_substring(pc.utf8_lower(texts_of(batch, "text")), "\n", " "), " ").flatten()
             counted = pc.value_counts(pc.ascii_trim(flat, ".,;:!?()\"'"))
             word, n = counted.field(0), counted.field(1)
-            ok = pc.match_substring_regex(word, "^[a-z]{3,24}$")
+            ok = pc.match_substring_regex(word, "^\\p{L}{3,}$")
             yield pa.RecordBatch.from_pydict({"word": word.filter(ok), "n": n.filter(ok)})
 
     counts = materialise(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    # the least count that at most ``size`` words reach: as many rows as there are different counts
-    least, total = None, 0
-    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
-        total += r["words"]
-        if total > size:
-            break
-        least = r["n"]
+    # the least count that at most ``size`` words reach
+    least, total, step = None, 0, F.floor(F.log2("n") * 16)
+    for r in sorted(counts.groupBy(step.alias("k")).agg(F.count("*").alias("words"), F.min("n").alias("n")).collect(), key=lambda r: -r["k"]):
+        if total + r["words"] <= size:
+            total, least = total + r["words"], r["n"]
+            continue
+        for s in sorted(counts.where(step == r["k"]).groupBy("n").agg(F.count("*").alias("words")).collect(), key=lambda s: -s["n"]):
+            total += s["words"]
+            if total > size:
+                break
+            least = s["n"]
+        break
     rows = counts.where(F.col("n") >= least).collect() if least is not None else []
     return sorted(((r["word"], r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
+def _letter(c: str) -> int:
+    return ord(c) - 97 if "a" <= c <= "z" else 27
+
+
 class Features:
     """What the forest sees of a candidate."""
 
     def __init__(self, words: list[tuple[str, int]]):
         self.words = frozenset(w for w, _ in words if len(w) >= 4) | frozenset(NAMES.replace("[_-]?", "").split("|"))
-        counts = np.ones((27, 27))
+        self.sizes = sorted({len(w) for w in self.words}, reverse=True)
+        counts = np.ones((28, 28))  # a to z, a word's ends, other letters
         for w, n in words:
-            s = [ord(c) - 97 for c in w]
+            s = [_letter(c) for c in w]
             for a, b in zip([26, *s], [*s, 26]):
                 counts[a, b] += n
         self.log = np.log(counts / counts.sum(1, keepdims=True)).tolist()
@@ -97,8 +111,8 @@ class Features:
         for m in _LETTERS.finditer(low):
             run, at = m[0], 0
             while at < len(run):
-                for n in range(min(16, len(run) - at), 3, -1):
-                    if run[at : at + n] in self.words:
+                for n in self.sizes:
+                    if at + n <= len(run) and run[at : at + n] in self.words:
                         got += n
                         at += n
                         break
@@ -113,7 +127,7 @@ class Features:
         share = [kinds.count(k) / n for k in "duls"]
         by = {c: text.count(c) for c in set(text)}
         entropy = -sum(v / n * math.log2(v / n) for v in by.values())
-        letters = [ord(c) - 97 for c in low if "a" <= c <= "z"]
+        letters = [_letter(c) for c in low if c.isalpha()]
         likely = sum(self.log[a][b] for a, b in zip(letters, letters[1:])) / max(len(letters) - 1, 1)
         near = before[-40:].lower()
         named = bool(re.search(NAMES, near)) or kind == "value"
@@ -140,7 +154,7 @@ def labelled_findings(words: list[tuple[str, int]], n: int = 6000, seed: int = 5
             secret, which = 1, r.randrange(7)
             name = r.choice(["password", "token", "api_key", "secret", "access_key", "auth_token"])
             if which == 0:
-                kind, text = "known", "AKIA" + chars(string.ascii_uppercase + string.digits, 16)
+                kind, text = "known", "AKIA" + chars(string.ascii_uppercase + r.choice(["", string.digits]), 16)
             elif which == 1:
                 kind, text = "known", "ghp_" + chars(alnum, 36)
             elif which == 2:
@@ -169,7 +183,7 @@ def labelled_findings(words: list[tuple[str, int]], n: int = 6000, seed: int = 5
                 kind, text = "value", r.choice(["", "_", "-"]).join(pick(r.randint(1, 3))) + "xx"
                 before += r.choice([" password: ", " the token: ", " secret = "])
             elif which == 5:
-                kind, text = "run", "=" * 0 + r.choice(["-", "_", "/"]) * r.randint(20, 60)
+                kind, text = "run", r.choice(["-", "_", "/"]) * r.randint(20, 60)
             else:
                 kind, text = "run", "".join(w.title() for w in pick(r.randint(4, 6)))[:200]
                 path = r.choice(["test/fixtures.py", "docs/readme.md", "package-lock.json", path])

@@ -3,6 +3,7 @@ import random
 import string
 import time
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
@@ -63,3 +64,35 @@ def test_long_texts_stay_linear():
     for t in ("a" * 10**6, "-----BEGIN PRIVATE KEY-----\n" * 20_000, "token=" + "a-" * 300_000, "=" + "eyJ" * 300_000, "eyJ" + "a." * 300_000):
         list(secrets.candidates(t))
     assert time.time() - begun < 20
+
+
+def test_formats_that_are_not_among_the_labelled_findings(spark):
+    """Held apart: neither the shapes of these secrets nor of these look-alikes are made by ``labelled_findings``."""
+    r = random.Random(5)
+    dash = lambda *n: "-".join("".join(r.choice(ALNUM) for _ in range(k)) for k in n)
+    b64 = lambda n: "".join(r.choice(ALNUM + "+/") for _ in range(n))
+    words = [("house", 50), ("garden", 40), ("window", 30), ("river", 20), ("straße", 20), ("mountain", 10), ("letter", 9)] * 20
+    rows = []
+    for _ in range(40):
+        rows += [("client_secret = " + b64(44) + "=", 1), ("x AIza" + "".join(r.choice(ALNUM + "_-") for _ in range(35)) + " y", 1), ("xoxb-" + dash(12, 12, 24), 1), ("passwd: " + b64(20), 1)]
+        rows += [("see /usr/share/doc/house/garden/window/river/index.html now", 0), ("the mountain_letter_house_garden_window_river is", 0), ("password: straße", 0), ("token=<mountain>", 0), ("------------------------------------", 0)]
+    seen, forest = secrets.train(words)
+    hit = {0: [], 1: []}
+    for text, secret in rows:
+        got = [(k, a, b) for k, a, b in secrets.candidates(text)]
+        x = [seen.of(k, text[a:b], text[max(0, a - 80) : a], text[b : b + 60], "") for k, a, b in got]
+        hit[secret].append(bool(x) and bool((forest.score(np.array(x, float)) >= 0.5).any()))
+    assert np.mean(hit[1]) >= 0.9 and np.mean(hit[0]) <= 0.1
+
+
+def test_the_dictionary_by_brute_force(spark):
+    from collections import Counter
+
+    texts = ["Straße straße house House, HOUSE a bb ccc ccc ddd", "ccc eee eee fff x1y", None, "ggg\nggg hhh " + "l" * 40]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    every = Counter(w for t in texts for w in (x.strip(".,;:!?()\"'") for x in (t or "").lower().split()) if len(w) >= 3 and w.isalpha())
+    for size in (1, 2, 4, 5, 50):
+        levels = sorted(set(every.values()), reverse=True)
+        least = next((n for n in reversed(levels) if sum(c >= n for c in every.values()) <= size), None)
+        want = {w: c for w, c in every.items() if least is not None and c >= least}
+        assert dict(secrets.corpus_words(docs, size)) == want
