@@ -16,12 +16,16 @@ where n_t <= N ** (1 - alpha) * n_e ** alpha, and support needs as many document
 either; other pairs are not made, which loses none that the bound admits.  ``sanitise`` generalises base spans to their kind and removes
 the terms.
 
+Lists are taken apart by ``explode_outer``: for ``explode`` Spark adds a filter on the list's
+size, for which it makes the list anew, expression within expression.
+
 Positions are code points, end exclusive.  Matches are found by splitting at them and
 summing lengths; the patterns begin only where a run of their characters begins or the
 last match ended, so that long runs stay linear.
 
 Nulls: a null text is empty (and stays null when sanitised); a null ``doc_id`` is kept.
-Empty texts have no spans.  Very long texts are read whole.  Repeated rows get equal
+Empty texts have no spans.  Very long texts are read whole.  Spans of different kinds may
+overlap and are all reported; where they do, ``sanitise`` masks the one that begins first.  Repeated rows get equal
 results and count as documents.  An empty table gives no rows.  Extra columns are
 ignored, or kept by ``sanitise``.
 """
@@ -35,7 +39,7 @@ from .base import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -125,29 +129,42 @@ def _value(kind: str, hit: Column) -> Column:
     return F.concat(F.lit(kind + ":"), F.lower(hit) if kind in ("email", "ip") else F.regexp_replace(hit, "[^0-9]", ""))
 
 
+def _blanked(text: str) -> Column:
+    """The text with each e-mail address put as so many zeros; the other kinds have no letters."""
+    hits = F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0))
+    gaps = F.split(text, PATTERNS["email"], -1)
+    blank = F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(F.repeat(F.lit("0"), F.length(h)), F.lit("")))), "")
+    return F.when(F.contains(F.col(text), F.lit("@")), blank).otherwise(F.col(text))
+
+
 def _with_words(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``words``: array of (text, start, end) of the words of three letters or more of ``text`` that overlap no entity."""
-    df = found(df, text, TERM, "words", F.col(text) != "")
-    return df.withColumn("words", F.filter("words", lambda w: ~F.exists("entities", lambda o: (w.start < o.end) & (w.end > o.start))))
+    """Adds ``words``: array of (text, start, end) of the words of three letters or more of ``text`` outside its e-mail addresses."""
+    df = df.withColumn("_blank", _blanked(text))
+    return found(df, "_blank", TERM, "words", F.col("_blank") != "").drop("_blank")
+
+
+def _key() -> Column:
+    """What a row's spans depend on."""
+    return F.struct(F.col("doc_id"), F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"))
 
 
 def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """A row per document with its base spans and ``term`` spans: array of (start, end), in order.
+    """A row per document with its base spans, ``term`` spans (array of start, end, in order) and its key.
 
     Terms are words of three letters or more of documents that have an entity.
     """
     every = F.concat(*(_entities(k) for k in KINDS))
-    spanned = base_spans(docs.select("doc_id", "text"))
-    held = materialise(spanned.select(F.monotonically_increasing_id().alias("row"), "doc_id", *KINDS, F.when(F.size(every) > 0, F.col("text")).alias("text")), "spans")
+    spanned = base_spans(docs.select("doc_id", "text", _key().alias("key")))
+    held = materialise(spanned.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", *KINDS, F.when(F.size(every) > 0, F.col("text")).alias("text")), "spans")
     total = held.count()
-    values = held.where("text is not null").select("row", F.explode(F.array_distinct(F.transform(every, lambda e: e.value))).alias("entity"))
+    values = held.where("text is not null").select("row", F.explode_outer(F.array_distinct(F.transform(every, lambda e: e.value))).alias("entity"))
     of_entity = materialise(values.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support), "entities")
     # the most documents a term may be in, for each entity of each document
     bound = F.lit(float(max(total, 1))) ** (1 - alpha) * F.col("n_e") ** alpha + 1e-6
     who = materialise(values.join(of_entity, "entity").select("row", "entity", "n_e", bound.alias("most")), "who")
-    rows = held.join(who.groupBy("row").agg(F.max("most").alias("most")), "row").select("row", "text", "most", every.alias("entities"))
-    worded = _with_words(rows, "text").select("row", "most", F.explode(F.array_distinct(F.transform("words", lambda w: F.lower(w.text)))).alias("term"))
-    terms = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    rows = held.join(who.groupBy("row").agg(F.max("most").alias("most")), "row").select("row", "text", "most")
+    worded = _with_words(rows, "text").select("row", "most", F.explode_outer(F.array_distinct(F.transform("words", lambda w: F.lower(w.text)))).alias("term")).where("term is not null")
+    terms = docs.select(F.explode_outer(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term")).where("term is not null")
     of_term = materialise(terms.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= support), "terms")
     rare = worded.join(of_term, "term").where(F.col("n_t") <= F.col("most")).select("row", "term", "n_t")
     met = materialise(rare.join(who, "row").where(F.col("n_t") <= F.col("most")).select("row", "entity", "term", "n_t", "n_e"), "pairs")
@@ -155,13 +172,13 @@ def disclosing(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) ->
     ic = F.log2(total / F.col("n_e"))
     pmi = F.log2(F.col("both") * total / (F.col("n_t") * F.col("n_e")))
     telling = counted.where((ic > 0) & (pmi >= alpha * ic)).select("entity", "term")
-    told = met.join(telling, ["entity", "term"]).groupBy("row").agg(F.collect_set("term").alias("told"))
-    marked = held.join(told, "row", "left").withColumn("entities", every)
+    told = materialise(met.join(telling, ["entity", "term"]).select("row", "term").distinct(), "told")
     # words are looked for again only where some are telling
-    marked = _with_words(marked.withColumn("near", F.when(F.col("told").isNotNull(), F.col("text")).otherwise("")), "near")
-    spans = F.transform(F.filter("words", lambda w: F.array_contains("told", F.lower(w.text))), lambda w: F.struct(w.start.alias("start"), w.end.alias("end")))
+    again = _with_words(held.join(told.select("row").distinct(), "row", "left_semi").select("row", "text"), "text")
+    placed = again.select("row", F.explode_outer("words").alias("w")).where("w is not null").select("row", F.lower("w.text").alias("term"), F.struct("w.start", "w.end").alias("span"))
+    spans = placed.join(told, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("term"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return marked.select("doc_id", *KINDS, F.when(F.col("told").isNotNull(), F.array_sort(spans)).otherwise(none).alias("term"))
+    return held.select("row", "doc_id", "key", *KINDS).join(spans, "row", "left").select("doc_id", *KINDS, F.coalesce("term", none).alias("term"), "key")
 
 
 def _entities(kind: str) -> Column:
@@ -169,7 +186,7 @@ def _entities(kind: str) -> Column:
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, counts of base spans, their digest, all spans as text, and the number of terms."""
+    """doc_id, counts of base spans, their digest, all spans as text, and the numbers of terms and of all spans."""
     rows = disclosing(docs, **options)
     base = F.concat(*(_named(k) for k in KINDS))
     return rows.select(
@@ -178,6 +195,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, _named("term")), ",").alias("spans"),
         F.size("term").cast("long").alias("n_term"),
+        F.size(F.concat(base, _named("term"))).cast("long").alias("n_spans"),
     )
 
 
@@ -196,10 +214,11 @@ def masked(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with base spans generalised to their kind in brackets and telling terms removed.
 
-    Joined on doc_id, which must be unique here; rows without one keep a null text.
+    Spans find their rows by doc_id and text, of which equal rows have equal spans.
     """
-    rows = disclosing(docs, **options)
+    rows = disclosing(docs.select("doc_id", "text"), **options)
     label = lambda k: F.transform(k, lambda z: F.struct(z.start.alias("start"), z.end.alias("end"), F.lit("" if k == "term" else f"[{k.upper()}]").alias("label")))
-    spans = rows.where("doc_id is not null").select(F.col("doc_id").alias("_own"), F.array_sort(F.concat(*(label(k) for k in (*KINDS, "term")))).alias("_spans"))
-    joined = docs.join(spans, docs.doc_id == F.col("_own"), "left")
-    return joined.withColumn("text", F.when(F.size("_spans") > 0, masked(F.col("text"), F.col("_spans"))).otherwise(F.when(F.col("_own").isNotNull(), F.col("text")))).select(*docs.columns)
+    spans = rows.select(F.col("key").alias("_own"), F.array_sort(F.concat(*(label(k) for k in (*KINDS, "term")))).alias("_spans"))
+    spans = spans.where(F.size("_spans") > 0).dropDuplicates(["_own"])
+    joined = docs.withColumn("_key", _key()).join(spans, F.col("_key").eqNullSafe(F.col("_own")), "left")
+    return joined.withColumn("text", F.when(F.col("_own").isNotNull(), masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))).select(*docs.columns)

@@ -72,3 +72,21 @@ def test_a_word_that_only_goes_with_an_entity_discloses_it(spark):
 def test_running_sums(spark, n):
     got = spark.range(1).select(sanitise._running(F.lit([3] * n).cast("array<bigint>") if n else F.array().cast("array<bigint>")).alias("a")).first()[0]
     assert got == [3 * k for k in range(n)]
+
+
+def test_long_domains_and_many_entities(spark):
+    import time
+
+    long = "a@" + "b." * 100_000 + "c"
+    many = " ".join(f"word{chr(97 + k % 26)}x name{k}@mail.example" for k in range(5000))
+    docs = spark.createDataFrame([(1, long), (2, many), (3, many), (4, many), (5, "other text")], "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in sanitise.report(docs).collect()}
+    assert time.time() - began < 90
+    assert rows[1].n_email == 1 and rows[1].spans == f"email:0:{len(long)}" and rows[2].n_email == 5000 and rows[2].spans == rows[3].spans
+
+
+def test_rows_of_one_id_or_of_none_are_masked_each(spark):
+    docs = spark.createDataFrame([(1, "a@b.co x"), (1, "y c@d.co"), (1, "a@b.co x"), (None, "z e@f.co"), (None, None), (2, None), (2, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text or "-") for r in sanitise.sanitise(docs).collect()))
+    assert got == [(0, "-"), (0, "z [EMAIL]"), (1, "[EMAIL] x"), (1, "[EMAIL] x"), (1, "y [EMAIL]"), (2, "-"), (2, "-")]
