@@ -158,7 +158,8 @@ def chunk(messages: DataFrame, size: int = T.CHUNK, tokenizer: str | None = None
     rows = rows.select("message_id", front.alias("front"), "t")
     cleaned = X.strip_quotes(F.col("t"))
     parts = T.bpe_chunks(tokenizer, size)(F.col("front"), cleaned, F.col("t")) if tokenizer else T.chunks(F.col("front"), cleaned, F.col("t"), size)
-    return rows.select("message_id", F.posexplode(parts).alias("chunk_no", "chunk"))
+    # not posexplode: for it Spark filters on the list's size and makes the list twice
+    return rows.select("message_id", F.posexplode_outer(parts).alias("chunk_no", "chunk")).where("chunk is not null")
 
 
 def embed(messages: DataFrame, make_client: Callable[[], Client], options: P.Options | None = None, **run) -> DataFrame:

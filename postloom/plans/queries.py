@@ -249,7 +249,7 @@ SELECT doc_id, CAST(floor(pos / size) AS BIGINT) AS chunk_no, front || array_to_
 @query(_chunks_sql(400))
 def chunk_documents(spark, sf_dir):
     front = F.concat(F.lit("subject: Document "), F.col("doc_id"), F.lit("\n\n"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunks(front, X.strip_quotes(F.col("text")), F.col("text"))).alias("n", "chunk"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(T.chunks(front, X.strip_quotes(F.col("text")), F.col("text"))).alias("n", "chunk")).where("chunk is not null")
     return rows.select("doc_id", long(F.col("n")).alias("chunk_no"), "chunk")
 
 
