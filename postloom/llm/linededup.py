@@ -28,6 +28,7 @@ from .base import materialise
 
 MIN_WORDS = 5
 _LOWEST = -(2**63)
+_SHIFT = 2**31
 
 
 def _words(line: Column) -> Column:
@@ -73,18 +74,25 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.transform(spans, lambda p: F.struct(p.alias("b"), F.when(heavy(p), p).otherwise(onward(p)).alias("e"))),
         F.filter(F.transform(spans, lambda p: F.struct(F.when(~heavy(p), back(p)).alias("b"), p.alias("e"))), lambda z: z.b.isNotNull()),
     )
-    rows = rows.withColumn("r", F.explode(F.array_distinct(F.filter(found, lambda z: z.e.isNotNull()))))
-    b, e = F.col("r.b"), F.col("r.e")
-    m = e - b + 1
+    # a run as one number, of which an array's distinct ones are found by hashing
+    coded = F.array_distinct(F.transform(F.filter(found, lambda z: z.e.isNotNull()), lambda z: z.b.cast("long") * _SHIFT + z.e))
 
-    def key(c: str) -> Column:
+    def key(c: str, b: Column, e: Column, m: Column) -> Column:
         out = None
         for size in sorted(names, reverse=True):
             one = F.xxhash64(m, F.get(names[size], b - 1)[c], F.get(names[size], e - size)[c])
             out = F.when(m >= size, one) if out is None else out.when(m >= size, one)
         return out
 
-    return rows.select("d", "t", b.alias("b"), F.get("s", b - 1).i.alias("from"), F.get("s", e - 1).i.alias("upto"), key("x").alias("x"), key("y").alias("y"))
+    def run(z: Column) -> Column:
+        b, e = z.b, z.e
+        m = e - b + 1
+        return F.struct(b.alias("b"), F.get("s", b - 1).i.alias("from"), F.get("s", e - 1).i.alias("upto"), key("x", b, e, m).alias("x"), key("y", b, e, m).alias("y"))
+
+    split = F.transform(coded, lambda r: F.struct(F.shiftright(r, 31).cast("int").alias("b"), r.bitwiseAND(F.lit(_SHIFT - 1)).cast("int").alias("e")))
+    # runs are whole before they are taken apart, so that no row carries the text's lists; explode would make the list twice
+    rows = rows.withColumn("split", split).select("d", "t", F.transform("split", run).alias("r")).select("d", "t", F.explode_outer("r").alias("r"))
+    return rows.where("r is not null").select("d", "t", "r.*")
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -103,7 +111,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = docs.withColumn("_line_d", F.coalesce("doc_id", F.lit(_LOWEST))).withColumn("_line_t", F.xxhash64("text"))
     rows = keyed.join(gone, ["_line_d", "_line_t"], "left")
     lines = F.split("text", "\n", -1)
-    marked = F.array_join(F.filter(lines, lambda s, i: ~F.array_contains("_line_list", i)), "\n")
+    # the lines that stay, by number
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_line_list")
+    marked = F.array_join(F.transform(F.array(F.struct(lines.alias("s"), stay.alias("at"))), lambda z: F.array_join(F.transform(z["at"], lambda i: F.get(z["s"], i)), "\n")), "")
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     rows = rows.withColumn("_line_total", total.cast("long")).withColumn("_line_gone", F.coalesce(F.size("_line_list"), F.lit(0)).cast("long"))
     rows = rows.withColumn("text", F.when(F.col("_line_list").isNull(), F.col("text")).otherwise(marked))

@@ -159,3 +159,14 @@ def test_blocks_of_a_bucket_lose_nothing(spark, monkeypatch):
         rows.append((k, " ".join(w)))
     got = {x.doc_id: x.class_id for x in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == classes(rows)
+
+
+def test_a_text_of_many_lines(spark):
+    import time
+
+    lines = [f"line number {k} of a long text" for k in range(100_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["its own first line is here", *lines[40_000:], "x"]))], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r._line_gone, r.text) for r in linededup.dedup_lines(docs).collect()}
+    assert time.time() - began < 120
+    assert got == {1: (0, "\n".join(lines)), 2: (60_000, "its own first line is here\nx")}
