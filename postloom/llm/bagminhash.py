@@ -228,7 +228,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     met = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     edges = materialise(_verified(first, sets_of(met), least), "edges")
-    labels = components(edges)
+    # two steps from a node to a pivot it is joined with: enough to leave most members of a bucket out
+    onward = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    labels = materialise(edges.join(onward, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("label")), "labels")
     # what shares a bucket and is in two components: everyone outside the largest of them against all
     label = F.coalesce("label", "node")
     placed = members.join(pivots.select("bucket"), "bucket", "left_semi").join(labels, "node", "left").select("bucket", "node", "layers", label.alias("label"))
@@ -241,9 +243,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     if not open_buckets.isEmpty():
         sets = sets_of(open_buckets.select("node").distinct())
         found = materialise(_links_in_blocks(open_buckets, sets, least), "more")
-        if not found.isEmpty():
-            edges = materialise(edges.union(found), "edges")
-            labels = components(edges)
+        edges = materialise(edges.union(found), "edges")
+    labels = components(edges)
     classes = nodes.select("node", "doc_id", "copies").join(labels, "node", "left").select("node", "doc_id", "copies", label.alias("label"))
     heads = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     of_node = classes.join(heads, "label").select("node", "class_id", "copies")
