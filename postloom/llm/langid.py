@@ -32,6 +32,8 @@ from .base import bounded_batches, slices, texts_of
 
 #: Documents that the field is fitted on, at most.
 FIT_ROWS = 2000
+#: Longer texts (in characters) are not learned from, so that the sample is bounded in bytes too.
+FIT_CHARS = 50_000
 BITS = 17
 UND = "und"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -214,7 +216,7 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Field | None:
     """A field from at most ``fit_rows`` whole documents outside the held-out fold, picked by a hash of their id."""
     key = F.xxhash64(F.col("doc_id"))
-    rows = docs.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("lang").isNotNull() & (F.length("text") <= FIT_CHARS))
     last = rows.select(key.alias("key")).orderBy("key").limit(fit_rows).agg(F.max("key")).first()[0]
     if last is None:
         return None
@@ -224,6 +226,15 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Field | None:
 
 def predict(docs: DataFrame, field: Field | None) -> DataFrame:
     """doc_id, lang_pred, score, n_words (with letters), n_switches (changes of a word's best label)."""
+    return _predicted(docs.select("doc_id", "text"), field, False)
+
+
+def keep(docs: DataFrame, field: Field | None, least: float) -> DataFrame:
+    """The rows of ``docs``, whole, whose language is found with a score of at least ``least``."""
+    return _predicted(docs, field, True, least)
+
+
+def _predicted(docs: DataFrame, field: Field | None, whole: bool, least: float = 0.0) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(field)
@@ -245,9 +256,12 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
                 switches = np.bincount(doc, turned, n).astype(np.int64)
                 for i in np.flatnonzero(counts).tolist():
                     pred[i], score[i] = model.langs[best[i]], min(1.0, float(mean[i, best[i]]))
+            if whole:
+                yield batch.filter(pa.array((np.array(pred, object) != UND) & (score >= least), pa.bool_()))
+                continue
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0).cast(pa.int64()), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()),
                 "n_words": pa.array(counts, pa.int64()), "n_switches": pa.array(switches, pa.int64()),
             })
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long, n_switches long")
+    return docs.mapInArrow(run, docs.schema if whole else "doc_id long, lang_pred string, score double, n_words long, n_switches long")
