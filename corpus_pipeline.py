@@ -1,8 +1,13 @@
 """The documents' way through five of the operators.
 
 Each stage takes (spark, docs, sf_dir), works on all of ``docs`` and returns those it
-keeps with the columns of ``documents``; the last returns the packed pieces.  A document
-without a doc_id can't be named by any stage and leaves at the first.
+keeps with the columns of ``documents``; the last returns the packed pieces.
+
+Rows are judged each by their own text, so that neither a missing nor a repeated doc_id
+decides: of rows that repeat, the first of the table stays.  Where rows have to be named,
+``near_copies`` takes their places in the scan; ``docs`` is a written table there, which every
+scan cuts alike.  Null and empty texts have no language and leave at the first stage.  Empty
+tables stay empty.
 """
 
 from __future__ import annotations
@@ -19,8 +24,7 @@ LEAST_LANGUAGE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words the field gives to a language; texts without letters and undecided ones go."""
-    found = langid.predict(docs, langid.train(docs)).where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE))
-    return docs.join(found.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    return langid.keep(docs, langid.train(docs), LEAST_LANGUAGE)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +34,10 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one of the least id."""
-    first = bagminhash.near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """One document of each class of near duplicates: the first of the table."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    first = bagminhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("doc_id = class_id")
+    return rows.join(first.select(F.col("doc_id").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
