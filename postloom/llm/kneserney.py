@@ -1,24 +1,27 @@
 """Quality by an interpolated modified Kneser-Ney model (operator 7).
 
-The model is over characters: n-grams of four symbols from an alphabet of 64 (the 62
-most frequent characters of all documents in lower case, one for the rest, one for the
-text's beginning).  Word n-grams would send a row per word through the shuffle, several
-times the input; symbols' counts are summed in each task first.
-
-Counts of the trusted documents' n-grams are summed by shards of their code.
-Continuation counts, counts of counts and sums per context come from further groupings,
-and joins of the counts with their contexts' sums give each n-gram's discounted
-probability and each context's weight for the lower order.  There are at most 64**4
-n-grams, so the finished table (64 MB as floats) is small by proof; every document is
-scored against it where it lies.
+The model is over characters: n-grams of five symbols, code points in lower case with
+marks before a text's beginning.  The alphabet is whatever the corpus has, and the
+tables of n-grams grow with it.  An n-gram is two longs, exact, 21 bits a symbol.
+
+Counts of the trusted documents' n-grams are summed in each task, then by shards of the
+n-gram.  Continuation counts, counts of counts and sums per context are further
+groupings; joins of the counts with their contexts' sums give discounted shares and the
+contexts' weights for the lower order.  To score, each task sends its different n-grams
+once; they are joined, order by order, with shares, weights and the next lower order's
+probabilities, and the answers are dealt back to the task that asked, which sums them per
+document.  Texts are not shuffled, and no table is collected or broadcast.
 
 Perplexity per symbol is compared with a quantile of the trusted documents of its
 language; a language without trusted documents takes the quantile over all.
 
 Nulls: a null or empty text has no symbols, a null perplexity and is not kept; a null
 language is a language of its own (``und``); a null ``doc_id`` is never trusted.  Very
-long texts are read whole; repeated rows get equal results.  Without trusted text all
-documents with text are kept.  An empty table gives no rows.  Extra columns are ignored.
+long texts are read whole; repeated rows get equal results; a document is trusted if all
+labels of its id say quality and none toxic; a perplexity equal to the threshold is kept.
+Without trusted text all documents with text are kept.  An empty table gives no rows.
+Extra columns are ignored.  ``docs`` must be cut alike by every scan (files are); a scan
+that isn't fails.
 """
 
 from __future__ import annotations
@@ -27,72 +30,141 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sides
 from .base import bounded_batches, materialise, slices, texts_of
+from .shingles import _GOLD, mix
 
-SIZE, ORDER = 64, 4
-BEGIN, OTHER = 63, 62
+ORDER, BITS = 5, 21
+BEGIN = (1 << BITS) - 1
 QUANTILE, SLACK = 0.995, 1.25
 #: Up to so many languages' thresholds are broadcast; more are joined by a shuffle.
 FEW_LANGUAGES = 1000
+#: Different n-grams that a task holds before it sends them.
+HELD = 1_000_000
 _MARK = "\U0010ffff"
+_ONE = (1 << BITS) - 1
+_SLICE = 3_000_000
+GRAM = "a long, b long"
 
 
-def alphabet(docs: DataFrame, size: int = SIZE - 2) -> list[int]:
-    """The most frequent characters (code points, lower case) of all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
-        for batch in slices(batches, "text"):
-            points = np.frombuffer("".join(texts_of(batch, "text").to_pylist()).lower().encode("utf-32-le"), np.uint32)
-            if len(points):
-                part = np.bincount(points)
-                total[: len(part)] += part
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"point": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
-
-    counted = docs.select("text").mapInArrow(run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counted.orderBy(F.desc("n"), "point").limit(size).collect()]
-
-
-def _symbols(texts: list[str], lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams that end at each symbol, and how many symbols each text has."""
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different n-grams (two longs each, sorted), the place of each symbol's n-gram among them, and how many symbols each text has."""
     low = [t.lower() for t in texts]
     pad = _MARK * (ORDER - 1)
-    s = lookup[np.frombuffer((pad + pad.join(low)).encode("utf-32-le"), np.uint32)].astype(np.int32)
+    points = np.frombuffer((pad + pad.join(low)).encode("utf-32-le"), np.uint32).astype(np.int64)
+    s = np.where(points == 0x10FFFF, BEGIN, points + 1)
     sizes = np.array([len(t) for t in low], np.int64)
-    code = np.zeros(len(s), np.int32)
-    for k in range(ORDER):
-        code[ORDER - 1 :] += s[ORDER - 1 - k : len(s) - k] * SIZE**k
     own = np.ones(len(s), bool)
     begin = np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1)
     for k in range(ORDER - 1):
         own[begin + k] = False
-    return code[own], sizes
+    at = np.flatnonzero(own)
+    alphabet, code = np.unique(s, return_inverse=True)
+    if len(alphabet) ** ORDER < 1 << 62:
+        whole = np.zeros(len(at), np.int64)
+        for k in range(ORDER - 1, -1, -1):
+            whole = whole * len(alphabet) + code[at - k]
+        seen, where = np.unique(whole, return_inverse=True)
+        parts, rest = [], seen
+        for _ in range(ORDER):
+            parts.append(alphabet[rest % len(alphabet)])
+            rest = rest // len(alphabet)
+        return _packed(parts[::-1]) + (where, sizes)
+    a, b = _packed([s[at - k] for k in range(ORDER - 1, -1, -1)])
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    where = np.zeros(len(order), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return a[order][new], b[order][new], where, sizes
+
+
+def _packed(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first two symbols in one long, the last three in another."""
+    one, two, three, four, five = symbols
+    return one << BITS | two, three << 2 * BITS | four << BITS | five
+
+
+def _suffix(k: int) -> list[Column]:
+    """The n-gram's last ``k`` symbols as a and b."""
+    a = {5: "a", 4: f"a & {_ONE}"}.get(k, "0L")
+    b = {2: f"b & {(1 << 2 * BITS) - 1}", 1: f"b & {_ONE}"}.get(k, "b")
+    return [F.expr(a).cast("long").alias("a"), F.expr(b).cast("long").alias("b")]
+
+
+def _context() -> list[Column]:
+    """The n-gram without its last symbol as x and y."""
+    return [F.expr(f"shiftright(a, {BITS})").alias("x"), F.expr(f"shiftright(b, {BITS}) | shiftleft(a & {_ONE}, {2 * BITS})").alias("y")]
+
+
+class _Tally:
+    """N-grams with their counts, summed as they come."""
+
+    def __init__(self) -> None:
+        self.a, self.b, self.n = (np.zeros(0, np.int64) for _ in range(3))
+        self.new: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
+        self.new.append((a, b, n))
+        self.held += len(a)
+        if self.held > max(HELD, 2 * len(self.a)):
+            self.sum()
+
+    def sum(self) -> None:
+        if not self.held:
+            return
+        a, b, n = (np.concatenate([x, *y]) for x, y in zip((self.a, self.b, self.n), zip(*self.new)))
+        order = np.lexsort((b, a))
+        a, b, n = a[order], b[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        self.a, self.b, self.n = a[first], b[first], np.add.reduceat(n, first)
+        self.new, self.held = [], 0
+
+    def rows(self) -> Iterator[tuple[np.ndarray, ...]]:
+        self.sum()
+        for k in range(0, len(self.a), 50_000):
+            yield self.a[k : k + 50_000], self.b[k : k + 50_000], self.n[k : k + 50_000]
+
+
+def asked(docs: DataFrame) -> DataFrame:
+    """part, a, b: the different n-grams of each partition of ``docs``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, part = _Tally(), TaskContext.get().partitionId()
+        for batch in slices(batches, "text", _SLICE):
+            a, b, _, _ = ngrams(texts_of(batch, "text").to_pylist())
+            tally.add(a, b, np.zeros(len(a), np.int64))
+        for a, b, _ in tally.rows():
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(a), part, np.int32)), "a": pa.array(a), "b": pa.array(b)})
 
-def _lookup(points: list[int]) -> np.ndarray:
-    out = np.full(0x110000, OTHER, np.uint8)
-    out[points] = np.arange(len(points))
-    out[0x10FFFF] = BEGIN
-    return out
+    return docs.select("text").mapInArrow(run, "part int, " + GRAM)
 
 
-def count(docs: DataFrame, points: list[int]) -> DataFrame:
-    """code, n: the n-grams of all documents."""
+def count(docs: DataFrame, trusted: str | None = None) -> DataFrame:
+    """a, b, n: the n-grams of the documents whose ids were dealt to their partitions below ``trusted``; of all without it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, lookup = np.zeros(SIZE**ORDER, np.int32), _lookup(points)
-        for batch in slices(batches, "text"):
-            np.add.at(total, _symbols(texts_of(batch, "text").to_pylist(), lookup)[0], 1)
-        seen = np.flatnonzero(total)
-        for k in range(0, len(seen), 50_000):
-            part = seen[k : k + 50_000]
-            yield pa.RecordBatch.from_pydict({"code": pa.array(part, pa.int64()), "n": pa.array(total[part], pa.int64())})
-
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        tally = _Tally()
+        ids = None
+        if trusted is not None:
+            found = sides.own(trusted)
+            ids = pa.array([], pa.int64()) if found is None else found.column("doc_id").combine_chunks()
+        for batch in batches:
+            if ids is not None:
+                batch = batch.filter(pa.compute.is_in(batch.column(0).cast(pa.int64()), value_set=ids, skip_nulls=True))
+            for part in slices([batch], "text", _SLICE):
+                a, b, where, _ = ngrams(texts_of(part, "text").to_pylist())
+                tally.add(a, b, np.bincount(where, minlength=len(a)))
+        for a, b, n in tally.rows():
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "n": pa.array(n)})
+
+    return docs.select("doc_id", "text").mapInArrow(run, GRAM + ", n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -108,53 +180,56 @@ def _discounts(counts: DataFrame) -> list[float]:
     return out
 
 
-def _order(counts: DataFrame, k: int) -> tuple[np.ndarray, ...]:
-    """Of an order's n-grams: codes, discounted shares; contexts, their weights for the lower order."""
-    d = _discounts(counts)
-    take = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    context = (F.col("code") / SIZE).cast("long") if k > 1 else F.lit(0).cast("long")
-    rows = counts.withColumn("context", context).withColumn("d", take)
-    sums = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
-    probs = rows.join(sums, "context").select("code", ((F.col("n") - F.col("d")) / F.col("total")).cast("float").alias("p")).toPandas()
-    back = sums.select("context", (F.col("held") / F.col("total")).cast("float").alias("g")).toPandas()
-    return probs["code"].to_numpy(), probs["p"].to_numpy(), back["context"].to_numpy(), back["g"].to_numpy()
-
-
-def train(trusted: DataFrame, points: list[int]) -> list[tuple[np.ndarray, ...]]:
-    """The orders' tables, the lowest first."""
-    counts, tables = materialise(count(trusted, points), "ngrams"), []
+def train(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Of each order, the lowest first: n-grams with their discounted shares, contexts with their weights for the lower order."""
+    tables, counts = [], materialise(counts, "ngrams")
     for k in range(ORDER, 0, -1):
-        tables.append(_order(counts, k))
+        d = _discounts(counts)
+        rows = counts.select("a", "b", "n", *_context(), F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]).alias("d"))
+        sums = materialise(rows.groupBy("x", "y").agg(F.sum("n").alias("total"), F.sum("d").alias("held")), "contexts")
+        shares = rows.join(sums, ["x", "y"]).select("a", "b", ((F.col("n") - F.col("d")) / F.col("total")).alias("share"))
+        tables.append((shares, sums.select("x", "y", (F.col("held") / F.col("total")).alias("g"))))
         if k > 1:  # continuation counts: the different symbols before each shorter n-gram
-            counts = materialise(counts.groupBy((F.col("code") % SIZE ** (k - 1)).alias("code")).agg(F.count("*").alias("n")), "ngrams")
+            counts = materialise(counts.select(*_suffix(k - 1)).groupBy("a", "b").agg(F.count("*").alias("n")), "ngrams")
     return tables[::-1]
 
 
-def dense(tables: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """log p of every n-gram of the highest order; rows are contexts."""
-    p = np.full((1, SIZE), 1 / SIZE, np.float32)
-    for k, (codes, shares, contexts, weights) in enumerate(tables, 1):
-        g = np.ones(SIZE ** (k - 1), np.float32)
-        g[contexts] = weights
-        p = np.tile(p, (SIZE, 1)) if k > 1 else p
-        if k > 1:
-            p = p.reshape(SIZE ** (k - 1), SIZE)
-        p = p * g[:, None]
-        p.reshape(-1)[codes] += shares
-    return np.log(p, out=p).reshape(-1)
+def probabilities(grams: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """a, b, p of each of the different n-grams (a, b)."""
+    wanted = {ORDER: grams.select("a", "b")}
+    for k in range(ORDER - 1, 0, -1):
+        wanted[k] = materialise(wanted[k + 1].select(*_suffix(k)).distinct(), "wanted")
+    lower = wanted[1].select("a", "b", F.lit(1.0 / (wanted[1].count() + 1)).alias("q"))  # any symbol of the corpus, and the unseen
+    for k, (shares, weights) in enumerate(tables, 1):
+        rows = wanted[k].select("a", "b", *_context(), *(c.alias(n) for c, n in zip(_suffix(max(k - 1, 1)), ("la", "lb"))))
+        rows = rows.join(shares, ["a", "b"], "left").join(weights, ["x", "y"], "left")
+        rows = rows.join(lower.select(F.col("a").alias("la"), F.col("b").alias("lb"), "q"), ["la", "lb"])
+        p = F.coalesce("share", F.lit(0.0)) + F.coalesce("g", F.lit(1.0)) * F.col("q")
+        lower = materialise(rows.select("a", "b", p.alias("q")), "lower")
+    return lower.select("a", "b", F.col("q").alias("p"))
 
 
-
-def score(docs: DataFrame, points: list[int], tables: list[tuple[np.ndarray, ...]]) -> DataFrame:
+def score(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity (null without symbols)."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    wanted = materialise(asked(docs), "asked")
+    known = probabilities(wanted.select("a", "b").distinct(), tables)
+    told = sides.deal(wanted.join(known, ["a", "b"]).select("part", "a", "b", F.log("p").cast("float").alias("logp")), "told")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, table = _lookup(points), dense(shared.value)
-        for batch in slices(batches, "text", 3_000_000):
-            codes, sizes = _symbols(texts_of(batch, "text").to_pylist(), lookup)
+        found, h = None, np.zeros(0, np.uint64)
+        for batch in slices(batches, "text", _SLICE):
+            a, b, where, sizes = ngrams(texts_of(batch, "text").to_pylist())
+            if len(a) and found is None:
+                rows = sides.own(told)
+                if rows is None:
+                    raise RuntimeError("the documents are cut otherwise than when their n-grams were asked for")
+                found = [rows.column(c).to_numpy() for c in ("a", "b", "logp")]
+                h = _hash(found[0], found[1])
+                order = np.argsort(h)
+                h, found = h[order], [x[order] for x in found]
+            logs = _looked_up(a, b, h, *found) if len(a) else np.zeros(0)
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            mean = np.bincount(doc, table[codes], len(sizes)) / np.maximum(sizes, 1)
+            mean = np.bincount(doc, logs[where], len(sizes)) / np.maximum(sizes, 1)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0).cast(pa.int64()), "lang": batch.column(1).cast(pa.string()),
                 "n_symbols": pa.array(sizes, pa.int64()), "perplexity": pa.array(np.exp(-mean), pa.float64(), mask=sizes == 0),
@@ -163,6 +238,24 @@ def score(docs: DataFrame, points: list[int], tables: list[tuple[np.ndarray, ...
     return docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, "doc_id long, lang string, n_symbols long, perplexity double")
 
 
+def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a.view(np.uint64)) * _GOLD + b.view(np.uint64))
+
+
+def _looked_up(a: np.ndarray, b: np.ndarray, h: np.ndarray, known_a: np.ndarray, known_b: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The values of the n-grams; ``h`` sorts the known ones, whose symbols decide."""
+    want = _hash(a, b)
+    at = np.searchsorted(h, want)
+    while True:
+        there = np.minimum(at, len(h) - 1)
+        wrong = (known_a[there] != a) | (known_b[there] != b)
+        if not wrong.any():
+            return value[there].astype(float)
+        if (wrong & ((at >= len(h)) | (h[there] != want))).any():
+            raise RuntimeError("the documents are cut otherwise than when their n-grams were asked for")
+        at = at + wrong
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, kept.
 
@@ -171,9 +264,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     """
     bounded_batches(docs.sparkSession)
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("doc_id")
-    points = alphabet(docs)
-    trusted = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left_semi")
-    scores = materialise(score(docs, points, train(trusted, points)), "perplexity")
+    good = materialise(good, "good")
+    places = docs.select("doc_id", F.spark_partition_id().alias("part")).join(good, "doc_id", "left_semi").distinct()
+    trusted = sides.deal(places, "trusted")
+    scores = materialise(score(docs, train(count(docs, trusted))), "perplexity")
     known = scores.join(good, "doc_id", "left_semi").where("perplexity is not null")
     limit = lambda: (F.percentile_approx("perplexity", quantile, 10000) * slack).alias("threshold")
     per_lang = known.groupBy("lang").agg(limit())

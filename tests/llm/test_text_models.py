@@ -3,9 +3,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from postloom.llm import decontam, kneserney, langid, rules, secrets
-from postloom.llm.base import table
+from postloom.llm.base import shared_dir, table
 
 from .cases import awkward, empty
 
@@ -97,26 +99,64 @@ def test_trees_are_monotonic():
     assert (np.diff(p, axis=1) <= 1e-12).all() and (p[:, 0] > p[:, -1] + 0.2).all()
 
 
-def test_kneser_ney_sums_to_one_and_matches_brute_force(spark):
-    texts = ["abab abba", "the cat the cat sat", "a b c"]
-    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
-    points = kneserney.alphabet(docs)
-    tables = kneserney.train(docs, points)
-    p = np.exp(kneserney.dense(tables)).reshape(-1, kneserney.SIZE)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    # an n-gram's count by hand, and the perplexity of a text from the table
-    counts = {r.code: r.n for r in kneserney.count(docs, points).collect()}
-    index = {chr(c): i for i, c in enumerate(points)}
-    code = 0
-    for c in " cat"[-4:]:
-        code = code * 64 + index[c]
-    assert counts[code] == 2 and sum(counts.values()) == sum(map(len, texts))
-    row = kneserney.score(docs.where("doc_id = 2"), points, tables).first()
-    s, logs = [63, 63, 63], []
-    for c in texts[2]:
-        s.append(index[c])
-        logs.append(np.log(p[(s[-4] * 64 + s[-3]) * 64 + s[-2], s[-1]]))
-    assert np.isclose(row.perplexity, np.exp(-np.mean(logs)), rtol=1e-4)
+def kneser_ney(trusted, texts):
+    """Perplexities by the definition, with dictionaries; ``texts`` are the whole corpus."""
+    from collections import Counter, defaultdict
+
+    order, begin = 5, "\U0010ffff"
+    grams = lambda t: [(begin * 4 + t.lower())[i : i + order] for i in range(len(t.lower()))]
+    counts = Counter(g for t in trusted for g in grams(t))
+    symbols = {c for t in texts for c in t.lower()}
+    levels = []
+    for _ in range(order):
+        n = Counter(v for v in counts.values() if v <= 4)
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d = [min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else k * 0.5, 0.05), k - 0.05) for k in (1, 2, 3)]
+        total, held = defaultdict(float), defaultdict(float)
+        for g, v in counts.items():
+            total[g[:-1]] += v
+            held[g[:-1]] += d[min(v, 3) - 1]
+        levels.append((counts, d, total, held))
+        counts = Counter(g[1:] for g in counts)
+    levels.reverse()
+
+    def p(g, k):
+        if not k:
+            return 1 / (len(symbols) + 1)
+        counts, d, total, held = levels[k - 1]
+        g = g[-k:]
+        lower = p(g, k - 1)
+        if g[:-1] not in total:
+            return lower
+        v = counts.get(g, 0)
+        return (max(v - d[min(v, 3) - 1], 0) if v else 0) / total[g[:-1]] + held[g[:-1]] / total[g[:-1]] * lower
+
+    assert abs(sum(p("the " + c, 5) for c in symbols | {"\x01"}) - 1) < 1e-9 or not trusted
+    return [np.exp(-np.mean([np.log(p(g, order)) for g in grams(t)])) if t else None for t in texts]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_kneser_ney_by_brute_force(spark, sf, odd):
+    texts = ["The cat sat on the mat. The cat ran.", "a cat and a dog", "Кот сидел на ковре, кот спал.", "日本語 テキスト", "zzqj xkcd 😀", "", "the the the"]
+    if not odd:
+        texts = [r.text[:1500] for r in table(spark, sf, "documents").orderBy("doc_id").limit(30).collect()] + texts
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("x")).repartition(3).sortWithinPartitions("doc_id")
+    docs.write.mode("overwrite").parquet(path := shared_dir(spark, "kn"))
+    docs = spark.read.parquet(path)
+    good = [k for k in range(len(texts)) if k % 3 != 1]
+    labels = spark.createDataFrame([(k, 1, 0) for k in good] + [(1, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.perplexity for r in kneserney.classify(docs, labels).collect()}
+    for k, want in enumerate(kneser_ney([texts[k] for k in good], texts)):
+        assert (got[k] is None) == (want is None) and (want is None or np.isclose(got[k], want, rtol=1e-5))
+
+
+def test_ngrams_of_many_symbols():
+    texts = ["".join(chr(0x4E00 + k) for k in range(7000)), "abc", "", "aaaaaa"]
+    a, b, where, sizes = kneserney.ngrams(texts)
+    assert sizes.tolist() == [7000, 3, 0, 6] and len(where) == 7009
+    x, y, at, _ = kneserney.ngrams(texts[1:])
+    assert {*zip(x.tolist(), y.tolist())} <= {*zip(a.tolist(), b.tolist())}
+    assert [(a[k], b[k]) for k in where[7000:]] == [(x[k], y[k]) for k in at]
 
 
 def test_kneser_ney_verdicts(spark, sf):
