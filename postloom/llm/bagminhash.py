@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, materialise, slices, texts_of
+from .base import bounded_batches, materialise, release, slices, texts_of
 from .shingles import _GOLD, layers, mix
 
 BANDS, ROWS = 40, 5
@@ -147,9 +147,11 @@ def components(edges: DataFrame, what: str = "labels") -> DataFrame:
         low = labels.join(near, labels.node == near.a).select("node", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("fell"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         moved = materialise(low.join(jump, "label").select("node", F.least("label", "next").alias("label"), (F.col("fell") | (F.col("next") < F.col("label"))).alias("fell")), what)
-        labels = moved.select("node", "label")
-        if moved.where("fell").isEmpty():
+        release(labels)
+        labels, still = moved.select("node", "label"), moved.where("fell").isEmpty()
+        if still:
             return labels
+        labels._written = moved._written
 
 
 def _links_in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -227,7 +229,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         return materialise(_layers_of(docs, names.join(wanted, "node")).dropDuplicates(["node"]), "sets")
 
     met = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    edges = materialise(_verified(first, sets_of(met), least), "edges")
+    sets = sets_of(met)
+    edges = materialise(_verified(first, sets, least), "edges")
+    release(sets, first)
     # two steps from a node to a pivot it is joined with: enough to leave most members of a bucket out
     onward = edges.select(F.col("a").alias("b"), F.col("b").alias("c"))
     labels = materialise(edges.join(onward, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("label")), "labels")
@@ -244,6 +248,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
         sets = sets_of(open_buckets.select("node").distinct())
         found = materialise(_links_in_blocks(open_buckets, sets, least), "more")
         edges = materialise(edges.union(found), "edges")
+        release(sets)
+    release(placed, open_buckets, members)
     labels = components(edges)
     classes = nodes.select("node", "doc_id", "copies").join(labels, "node", "left").select("node", "doc_id", "copies", label.alias("label"))
     heads = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"))

@@ -163,6 +163,10 @@ def test_kneser_ney_verdicts(spark, sf):
     labels = table(spark, sf, "labels")
     rows = kneserney.classify(table(spark, sf, "documents"), labels).join(labels, "doc_id").collect()
     assert np.mean([r.kept for r in rows if r.quality and not r.toxic]) > 0.97
+    more = sf.replace("sf0.001", "sf0.01")
+    told = table(spark, more, "labels")
+    bad = kneserney.classify(table(spark, more, "documents"), told).join(told.where("quality = 0"), "doc_id").collect()
+    assert np.mean([r.kept for r in bad]) < 0.25 and len(bad) > 0
     out = kneserney.classify(awkward(spark), labels.limit(0))
     assert out.count() == awkward(spark).count() and out.where("perplexity is null and kept").count() == 0
     assert kneserney.classify(empty(spark), labels).count() == 0
