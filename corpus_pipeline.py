@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import bagminhash, decontam, langid, linededup, packing
-from postloom.llm.base import materialise, table
+from postloom.llm.base import materialise, release, table
 
 #: Below this mean marginal a document has no language of its own.
 LEAST_LANGUAGE = 0.3
@@ -64,7 +64,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in turn, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialise(docs, name)
+            release(before)
     return docs
