@@ -13,6 +13,7 @@ from ..operators import answers as A
 from ..operators import headers as H
 from ..operators import prompts as P
 from ..schemas import CHAT, EMBEDDING, RETRIEVAL, SUMMARY
+from ..session import ship
 from ..sources.client import Client, call
 
 _TOO_LONG = "PROMPT_TOO_LONG"
@@ -67,6 +68,7 @@ def _counter(o: P.Options) -> Callable:
 
 def _prepared(rows: DataFrame, o: P.Options, wrapped: Callable, system: str, routed: bool, old_count: bool, escaped: bool = True) -> DataFrame:
     if o.tokenizer:
+        ship(rows.sparkSession)
         cut, gone = X.clamp(F.col("t"))
         rows = rows.withColumn("z", T.bpe_fit(o.tokenizer, o.max_tokens, escaped, old_count)(wrapped(F.lit(T.MARK)), cut))
         rows = rows.withColumn("z", F.struct("z.kept", (gone + F.col("z.removed")).cast("int").alias("removed"), "z.fits"))
@@ -147,6 +149,7 @@ def chunk(messages: DataFrame, size: int = T.CHUNK, tokenizer: str | None = None
 
     ``tokenizer``: a vocabulary file that workers can read; chunks are cut by the pattern otherwise.
     """
+    ship(messages.sparkSession)
     key, messages = F.col("headers"), H.listed(messages, "headers", "attachments")
     senders, receivers = (F.filter(key, lambda h: h.key == "from"), F.filter(key, lambda h: h.key.isin("to", "cc", "bcc")))
     value = lambda hs: F.transform(hs, lambda h: h.value)
