@@ -14,6 +14,7 @@ from ..operators import catalogue as C
 from ..operators import headers as H
 from ..operators import prompts as P
 from ..schemas import ATTACHMENTS
+from ..session import shared_folder, ship
 from ..sources import mail
 from ..sources.client import FakeClient, call
 from . import pipelines
@@ -178,8 +179,6 @@ def address_render(spark, sf_dir):
 
 @query("""SELECT c_custkey, c_name || ' <c' || c_custkey || '@example.com> ; Ann <ann@example.com> ; Bob <bob@bücher.example>' AS shown FROM customer""")
 def address_parse(spark, sf_dir):
-    from ..session import ship
-
     ship(spark)
     value = F.concat(F.lit('"'), F.col("c_name"), F.lit('" <c'), F.col("c_custkey"), F.lit("@example.com>, Team: =?utf-8?q?Ann?= <ann@example.com>, Bob <bob@xn--bcher-kva.example>;"))
     return table(spark, sf_dir, "customer").select("c_custkey", H.render_addresses(H.parse_addresses(value)).alias("shown"))
@@ -373,8 +372,6 @@ def json_extract(spark, sf_dir):
 
 @query("""SELECT doc_id, '{"lang":"' || lang || '",' || CASE WHEN doc_id % 2 = 0 THEN '"even":true,' ELSE '' END || '"zero":0,"no":false,"list":[null,"",{}],"deep":{}}' AS pruned FROM documents""")
 def json_prune(spark, sf_dir):
-    from ..session import ship
-
     ship(spark)
     even = F.when(F.col("doc_id") % 2 == 0, "true").otherwise('""')
     t = F.concat(F.lit('{"lang":"'), "lang", F.lit('","even":'), even, F.lit(',"zero":0,"no":false,"gone":null,"list":[null,"",{"x":""}],"deep":{"y":null}}'))
@@ -659,10 +656,7 @@ def model_list(spark, sf_dir):
 
 def _mail_folder(spark: SparkSession) -> str:
     """A new folder with six messages, two of them deeper and one with an ending in capitals, and a file that is none."""
-    from uuid import uuid4
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/mail-{uuid4().hex}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark, "mail"))
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     names = ["a.eml", "b.EML", "c.eml", "d/e.eml", "d/f/g.eml", "h.eml", "i.txt"]
     for k, name in enumerate(names):
@@ -692,11 +686,8 @@ def eml_shuffle_limit(spark, sf_dir):
 @query(f"SELECT CAST(doc_id AS VARCHAR) AS message_id, CASE WHEN k <> 3 THEN 'bare' END AS summary, CASE k WHEN 3 THEN 'denied' END AS message, CASE k WHEN 3 THEN 401 END AS status FROM (SELECT doc_id, {_K} AS k FROM documents)")
 def json_sink(spark, sf_dir):
     """Results written as JSON and read back: failed rows are kept with their errors."""
-    from uuid import uuid4
-
     out = pipelines.summarize(_plain_messages(spark, sf_dir), _scripted(lambda k: (401, '{"error":{"message":"denied"}}') if k % 4 == 3 else (200, _chat('{"summary":"bare"}'))))
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/results-{uuid4().hex}"
+    path = shared_folder(spark, "results")
     mail.write_json(out.select("message_id", "summary", "error"), path)
     back = spark.read.schema("message_id string, summary string, error struct<message:string,statusCode:int>").json(path)
     return back.select("message_id", "summary", F.col("error.message").alias("message"), F.col("error.statusCode").alias("status"))
