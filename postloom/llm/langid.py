@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, slices, texts_of
+from .base import bounded_batches, slices, texts_of, trim
 
 #: Documents that the field is fitted on, at most.
 FIT_ROWS = 2000
@@ -221,7 +221,10 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Field | None:
     if last is None:
         return None
     got = rows.where(key <= last).orderBy(key, "doc_id").limit(fit_rows).select("text", "lang").collect()
-    return fit([r[0] for r in got], [r[1] for r in got])
+    field = fit([r[0] for r in got], [r[1] for r in got])
+    del got
+    trim()
+    return field
 
 
 def predict(docs: DataFrame, field: Field | None) -> DataFrame:
