@@ -63,18 +63,21 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     begin = np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1)
     for k in range(ORDER - 1):
         own[begin + k] = False
-    at = np.flatnonzero(own)
-    alphabet, code = np.unique(s, return_inverse=True)
+    alphabet = np.flatnonzero(np.bincount(s))
+    place = np.zeros(BEGIN + 1, np.int32)
+    place[alphabet] = np.arange(len(alphabet), dtype=np.int32)
+    code = place[s]
     if len(alphabet) ** ORDER < 1 << 62:
-        whole = np.zeros(len(at), np.int64)
+        whole = np.zeros(len(s), np.int64)
         for k in range(ORDER - 1, -1, -1):
-            whole = whole * len(alphabet) + code[at - k]
-        seen, where = np.unique(whole, return_inverse=True)
+            whole[ORDER - 1 :] = whole[ORDER - 1 :] * len(alphabet) + code[ORDER - 1 - k : len(s) - k]
+        seen, where = np.unique(whole[own], return_inverse=True)
         parts, rest = [], seen
         for _ in range(ORDER):
             parts.append(alphabet[rest % len(alphabet)])
             rest = rest // len(alphabet)
         return _packed(parts[::-1]) + (where, sizes)
+    at = np.flatnonzero(own)
     a, b = _packed([s[at - k] for k in range(ORDER - 1, -1, -1)])
     order = np.lexsort((b, a))
     new = np.ones(len(order), bool)
