@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import bounded_batches, materialise, release, slices, texts_of
@@ -161,8 +161,8 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataF
     Those outside the top component are compared with all.  A bucket is cut into blocks
     of about ``BLOCK`` members and ``BLOCK_LAYERS`` elements; a group has a block of
     outsiders and a block of all.  It compares whole elements, joins components as it goes
-    and sends a link for each joining only: fewer links than components, however many
-    pairs are close.
+    and sends a link from each joined label to the least one joined with it: fewer links
+    than components, however many pairs are close.
     """
     parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("layers") / BLOCK_LAYERS)).cast("int")
     rest = F.when(F.col("label") != F.col("top"), F.col("layers"))
@@ -182,17 +182,17 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataF
     grouped = placed.join(sets, "node").groupBy("bucket", "i", "j")
 
     def compare(table: pa.Table) -> pa.Table:
-        node, label, out, both = (table.column(c).to_numpy() for c in ("node", "label", "out", "both"))
+        label, out, both = (table.column(c).to_numpy() for c in ("label", "out", "both"))
         lists = table.column("set").combine_chunks()
         flat, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))
         size = np.diff(np.concatenate([[0], ends]))
-        owner = np.repeat(np.arange(len(node)), size)
+        owner = np.repeat(np.arange(len(label)), size)
         left, right = np.flatnonzero(out), (~out) | both
         pick = right[owner]
         order = np.argsort(flat[pick], kind="stable")
         values, holders = flat[pick][order], owner[pick][order]
-        part = np.unique(label, return_inverse=True)[1]  # the component of each member, as they are joined
-        apart, a, b = len(np.unique(part)), [], []
+        names, at_first, part = np.unique(label, return_index=True, return_inverse=True)  # the component of each member, as they are joined
+        apart = len(names)
         for r in left.tolist():
             if apart == 1:
                 break
@@ -200,18 +200,27 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, least: float) -> DataF
             lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
             n = hi - lo
             at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            common = np.bincount(holders[at], minlength=len(node))
+            common = np.bincount(holders[at], minlength=len(label))
             near = np.flatnonzero((common > 0) & (part != part[r]) & (common >= least * (size[r] + size - common) - 1e-9))
             for k in near[np.unique(part[near], return_index=True)[1]].tolist():
                 part[part == part[k]] = part[r]
-                a.append(int(node[r]))
-                b.append(int(node[k]))
                 apart -= 1
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        joined, least_of = part[at_first], np.full(len(names), len(names))
+        np.minimum.at(least_of, joined, np.arange(len(names)))
+        head = names[least_of[joined]]
+        return pa.table({"a": pa.array(names, pa.int64()), "b": pa.array(head, pa.int64())}).filter(pa.array(names != head))
 
     return grouped.applyInArrow(compare, "a long, b long")
 
 
+def _fewer(links: DataFrame) -> DataFrame:
+    """Links (a, b), b below a, with the same components: one for each a, to its least b, and its other b with that one."""
+    least = F.min("b").over(Window.partitionBy("a"))
+    own = F.col("b") == F.col("least")
+    kept = links.distinct().withColumn("least", least).select(F.when(own, F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
+    return kept.distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), n_layers, n_copies (of equal multisets) per document."""
     all_docs = materialise(describe(docs), "bags")
@@ -247,8 +256,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     if not open_buckets.isEmpty():
         sets = sets_of(open_buckets.select("node").distinct())
         found = materialise(_links_in_blocks(open_buckets, sets, least), "more")
-        edges = materialise(edges.union(found), "edges")
-        release(sets)
+        edges = materialise(edges.union(_fewer(found)), "edges")
+        release(sets, found)
     release(placed, open_buckets, members)
     labels = components(edges)
     classes = nodes.select("node", "doc_id", "copies").join(labels, "node", "left").select("node", "doc_id", "copies", label.alias("label"))
