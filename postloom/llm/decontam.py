@@ -3,8 +3,8 @@
 Passages are windows of 48 words, 16 apart, as TF-IDF vectors over hashed terms; items of
 up to 32 words are compared with windows of 16 and 32 words too, as the text around them
 would drown them in longer ones.  The document frequencies are those of all documents.  A randomised subspace iteration finds
-the leading right singular vectors of the TF-IDF matrix of a sample of documents (whole
-ones, at most ``FIT_DOCS``) with all benchmark items: each pass sends a sum
+the leading right singular vectors of the TF-IDF matrix of all items; from these, one more
+step over the passages of all documents and items gives those of the whole matrix: a pass sends a sum
 ``A.T @ (A @ Z)`` per task.  Every passage of every document is then folded into the
 latent space and compared with all items, in blocks of items.  Passages above the cosine
 bound are checked on their words: the longest common subsequence with the item, and with
@@ -38,10 +38,11 @@ STEP, SPAN = 16, 3  # a window is three steps
 SHORT, SHORT_SPANS = 32, (1, 2)
 TERMS = 1 << 14
 RANK, EXTRA, PASSES = 128, 8, 3
-FIT_DOCS = 600
 ITEM_BLOCK = 20_000
 #: Parts in which a task's sums are sent.
 PARTS = 32
+#: Terms found more often in a chunk of steps are summed by a matrix product.
+OFTEN = 64
 #: Cosines that a task holds at once.
 SIMILARITIES = 1_000_000
 COSINE, OVERLAP, ANSWER, SURE = 0.35, 0.6, 0.5, 0.8
@@ -165,14 +166,9 @@ def singular_vectors(sample: DataFrame, idf: np.ndarray, rank: int = RANK, tasks
             parts = np.array_split(total, PARTS)
             yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "m": pa.array([p.tobytes() for p in parts], pa.binary())})
 
-        def add(table: pa.Table) -> pa.Table:
-            whole = sum(np.frombuffer(m.as_buffer(), np.float32) for m in table.column("m"))
-            return pa.table({"part": table.column("part").slice(0, 1), "m": pa.array([whole.tobytes()], pa.binary())})
-
-        # tasks' sums meet on executors, so that the driver gets one matrix, in parts
-        got = rows.mapInArrow(run, "part int, m binary").groupBy("part").applyInArrow(add, "part int, m binary").collect()
+        got = _summed_parts(rows, run)
         shared.destroy()
-        return np.concatenate([np.frombuffer(r["m"], np.float32) for r in sorted(got, key=lambda r: r["part"])]).reshape(-1, l)
+        return got.reshape(-1, l)
 
     for _ in range(PASSES):
         z = _orthonormal(summed(z, False))
@@ -183,6 +179,120 @@ def singular_vectors(sample: DataFrame, idf: np.ndarray, rank: int = RANK, tasks
     return (z @ turn[:, order[ok]]).astype(np.float32), sigma[ok]
 
 
+def _squares(h: np.ndarray, counts: np.ndarray, idf: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """For each step, the squared length of the TF-IDF vector of the window that begins there (within its text)."""
+    start, per = _steps(counts)
+    doc = np.repeat(np.arange(len(counts)), per)
+    step = np.repeat(np.arange(len(start)), np.minimum(np.cumsum(counts)[doc] - start, STEP))
+    terms, w = _terms(h).astype(np.int16), (idf.astype(float) ** 2)[_terms(h)]
+    by_gap = np.zeros((span, len(start)))  # equal terms so many steps apart, by the first one's step
+    by_gap[0] = np.bincount(step, w, len(start))
+    for lag in range(1, min(span * STEP, len(terms))):
+        p = np.flatnonzero(terms[lag:] == terms[:-lag])
+        gap = step[p + lag] - step[p]
+        ok = (gap < span) & (doc[step[p + lag]] == doc[step[p]])
+        p, gap = p[ok], gap[ok]
+        by_gap += np.bincount(gap * len(start) + step[p], 2 * w[p], by_gap.size).reshape(by_gap.shape)
+    out = np.zeros(len(start))
+    for gap in range(span):
+        for j in range(span - gap):
+            same = np.flatnonzero(doc[j:] == doc[: len(doc) - j])
+            out[same] += by_gap[gap, same + j]
+    return out
+
+
+def _spread(total: np.ndarray, terms: np.ndarray, step: np.ndarray, g: np.ndarray) -> None:
+    """Add each word's step's row of ``g`` to its term's row of ``total``."""
+    n = np.bincount(terms, minlength=TERMS)
+    often = np.flatnonzero(n > OFTEN)
+    if len(often):
+        place = np.full(TERMS, -1)
+        place[often] = np.arange(len(often))
+        own = place[terms]
+        on = own >= 0
+        counted = np.bincount(own[on] * len(g) + step[on], minlength=len(often) * len(g))
+        total[often] += counted.reshape(len(often), len(g)).astype(np.float32) @ g
+        terms, step = terms[~on], step[~on]
+    order = np.argsort(terms.astype(np.int16), kind="stable")
+    terms, step = terms[order], step[order]
+    turn = np.arange(len(terms)) - np.searchsorted(terms, terms)  # a term's first words, then its second ones, ...
+    order = np.argsort(turn.astype(np.int16), kind="stable")
+    terms, step, ends = terms[order], step[order], np.cumsum(np.bincount(turn))
+    for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+        total[terms[a:b]] += g[step[a:b]]
+
+
+def products(h: np.ndarray, counts: np.ndarray, idf: np.ndarray, z: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` the texts' ``A.T @ (A @ z)`` without the last factor, the term's idf; A has a unit row for each window."""
+    start, per = _steps(counts)
+    if not len(start):
+        return
+    doc = np.repeat(np.arange(len(counts)), per)
+    first = np.cumsum(per) - per
+    size = np.minimum(np.cumsum(counts)[doc] - start, STEP)
+    squares = _squares(h, counts, idf)
+    ((_, y, of, at),) = passages(h, counts, idf[:, None] * z)
+    begin = first[of] + at
+    g = np.zeros((len(start), z.shape[1]), np.float32)
+    g[begin] = y / np.maximum(squares[begin], 1e-12)[:, None].astype(np.float32)
+    whole = g.copy()
+    for j in range(1, SPAN):  # a step is in the windows that begin at it or up to two before
+        same = np.flatnonzero(doc[j:] == doc[: len(doc) - j])
+        whole[same + j] += g[same]
+    terms, ends = _terms(h), start + size
+    for a in range(0, len(start), 2000):
+        b = min(a + 2000, len(start))
+        _spread(total, terms[start[a] : ends[b - 1]], np.repeat(np.arange(b - a), size[a:b]), whole[a:b])
+
+
+def _summed_parts(rows: DataFrame, run) -> np.ndarray:
+    """The sum of the tasks' float32 matrices, sent in parts; they meet on executors, so that the driver gets one matrix."""
+
+    def add(table: pa.Table) -> pa.Table:
+        whole = sum(np.frombuffer(m.as_buffer(), np.float32).astype(float) for m in table.column("m")).astype(np.float32)
+        return pa.table({"part": table.column("part").slice(0, 1), "m": pa.array([whole.tobytes()], pa.binary())})
+
+    got = rows.mapInArrow(run, "part int, m binary").groupBy("part").applyInArrow(add, "part int, m binary").collect()
+    return np.concatenate([np.frombuffer(r["m"], np.float32) for r in sorted(got, key=lambda r: r["part"])])
+
+
+def nystrom(z: np.ndarray, y: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors and values of A, by ``y = A.T @ A @ z`` for an orthonormal ``z``."""
+    y = y.astype(float)
+    values, turn = np.linalg.eigh((z.T @ y + y.T @ z) / 2)
+    ok = values > 1e-7 * max(values[-1], 1e-12)
+    left, sigma, _ = np.linalg.svd(y @ (turn[:, ok] / np.sqrt(values[ok])), full_matrices=False)
+    ok = sigma[:rank] > 1e-3 * max(sigma[0] if len(sigma) else 0.0, 1e-12)
+    return left[:, :rank][:, ok].astype(np.float32), sigma[:rank][ok]
+
+
+def start(items: DataFrame, idf: np.ndarray, n_items: int, rank: int = RANK, seed: int = 12) -> np.ndarray:
+    """An orthonormal basis that holds the items' leading singular vectors, filled up at random."""
+    own, _ = singular_vectors(items, idf, rank, 1 + n_items // 5000)
+    more = np.random.default_rng(seed).standard_normal((TERMS, rank + EXTRA - own.shape[1]), np.float32)
+    return _orthonormal(np.concatenate([own, _orthonormal(more)], 1))
+
+
+def fit(docs: DataFrame, items: DataFrame, idf: np.ndarray, z: np.ndarray, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors and values of the passages of all documents and items: one step from ``z``."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((z, idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, weights = shared.value
+        total = np.zeros((TERMS, own.shape[1]), np.float32)
+        for batch in slices(batches, "text", 3_000_000):
+            products(*_hashes(texts_of(batch, "text")), weights, own, total)
+        parts = np.array_split(total, PARTS)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "m": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    # each task sends a whole matrix, so there are as many tasks as the cluster works on, not as the table has parts
+    rows = docs.select("text").union(items.select("text")).coalesce(2 * spark.sparkContext.defaultParallelism)
+    y = idf[:, None] * _summed_parts(rows, run).reshape(TERMS, -1)
+    shared.destroy()
+    return nystrom(z, y, rank)
+
+
 def answer_of(text: str) -> str:
     """The last sentence."""
     parts = [p for p in re.split(r"(?<=[.!?])\s+", (text or "").strip()) if p]
@@ -221,13 +331,13 @@ def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[list[tuple[
     items = benchmark.select("item_id", "text").where("text is not null")
     df, n = frequencies(docs)
     idf = np.log((n + 1) / (df + 0.5)).clip(0).astype(np.float32)
-    key = F.xxhash64("doc_id")
-    last = docs.select(key.alias("k")).orderBy("k").limit(FIT_DOCS).agg(F.max("k")).first()[0]
-    sample = docs.where((key <= last) if last is not None else F.lit(False)).select("text").limit(FIT_DOCS).union(items.select("text"))
-    vectors, sigma = singular_vectors(sample, idf)
+    n_items = items.count()
+    if not n_items:
+        return
+    vectors, sigma = fit(docs, items, idf, start(items, idf, n_items))
     trim()
     fold = idf[:, None] * vectors / np.maximum(sigma, 1e-9).astype(np.float32)
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-items.count() // ITEM_BLOCK)))))
+    numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-n_items // ITEM_BLOCK)))))
     for block in sorted(r[0] for r in numbered.select("block").distinct().collect()):
         yield [(r[0], r[1]) for r in numbered.where(F.col("block") == block).select("item_id", "text").collect()], fold
 
