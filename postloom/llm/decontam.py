@@ -44,7 +44,9 @@ PARTS = 32
 #: Terms found more often in a chunk of steps are summed by a matrix product.
 OFTEN = 64
 #: Cosines that a task holds at once.
-SIMILARITIES = 1_000_000
+SIMILARITIES = 200_000
+#: Windows and items near each other that are checked together, and words of such windows.
+CANDIDATES, STRETCHES = 50_000, 1_000_000
 COSINE, OVERLAP, ANSWER, SURE = 0.35, 0.6, 0.5, 0.8
 PAIR = "doc_id long, item_id long, word long, cosine double, overlap double, answer double"
 
@@ -92,29 +94,60 @@ def _steps(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first + inside * STEP, per
 
 
-def passages(h: np.ndarray, counts: np.ndarray, table: np.ndarray, spans: tuple[int, ...] = (SPAN,)) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each span: the span, sums of the table's rows over each window, the window's text and first step in it."""
+def _layout(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each step: where it begins, its text, its place in it, and how many steps that text has."""
     start, per = _steps(counts)
-    k = table.shape[1]
     doc = np.repeat(np.arange(len(counts)), per)
+    return start, doc, np.arange(len(start)) - np.repeat(np.cumsum(per) - per, per), per[doc]
+
+
+def _step_sums(h: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows over each step, and SPAN - 1 rows of zeros."""
+    start, doc, _, _ = _layout(counts)
+    k = table.shape[1]
     size = np.minimum(np.cumsum(counts)[doc] - start, STEP)  # a text's last step may be short
-    terms, sums = _terms(h), np.zeros((len(start), k), np.float32)
+    table = np.ascontiguousarray(np.concatenate([table, np.zeros((1, k), table.dtype)]))  # by rows, as they are taken
+    terms = np.concatenate([_terms(h), np.full(STEP, TERMS)])
+    sums, room = np.zeros((len(start) + SPAN - 1, k), np.float32), np.empty((2000, k), table.dtype)
     for a in range(0, len(start), 2000):
         part, short = start[a : a + 2000], size[a : a + 2000]
+        own, some = sums[a : a + len(part)], room[: len(part)]
         for j in range(STEP):
-            on = short > j
-            if on.all():
-                sums[a : a + 2000] += table[terms[part + j]]
-            else:
-                sums[a : a + 2000][on] += table[terms[part[on] + j]]
-    step = np.arange(len(start)) - np.repeat(np.cumsum(per) - per, per)
-    for span in spans:
-        whole = sums.copy()
-        for j in range(1, span):
-            same = np.flatnonzero(doc[j:] == doc[:-j]) if j < len(doc) else np.zeros(0, np.int64)
-            whole[same] += sums[same + j]
-        keep = (step <= per[doc] - span) | (step == 0)
-        yield span, whole[keep], doc[keep], step[keep]
+            np.take(table, np.where(short > j, terms[part + j], TERMS), 0, some, "clip")
+            own += some
+    return sums
+
+
+def _windows(rows: np.ndarray, step: np.ndarray, per: np.ndarray, span: int) -> np.ndarray:
+    """Sums of ``rows`` over the window of so many steps from each step, a shorter text's being all of it.
+
+    ``rows`` has SPAN - 1 more than ``step``.  Windows that would end in another text aren't to be used.
+    """
+    n = len(step)
+    out = rows[:n].copy()
+    for j in range(1, span):
+        out += rows[j : n + j]
+    for k in range(1, span):
+        few = np.flatnonzero((step == 0) & (per == k))
+        if len(few):
+            out[few] = sum(rows[few + j] for j in range(k))
+    return out
+
+
+def _lengths(sums: np.ndarray, step: np.ndarray, per: np.ndarray, span: int) -> np.ndarray:
+    """The length of each window's sum; infinite where no window begins."""
+    n = len(step)
+    dots = [np.einsum("ij,ij->i", sums[: len(sums) - g], sums[g:], dtype=float) for g in range(span)]
+    dots = [np.concatenate([x, np.zeros(len(sums) - len(x))]) for x in dots]
+
+    def squares(at: np.ndarray, k: int) -> np.ndarray:
+        return sum((2 if g else 1) * dots[g][at + i] for g in range(k) for i in range(k - g))
+
+    out = squares(np.arange(n), span)
+    for k in range(1, span):
+        few = np.flatnonzero((step == 0) & (per == k))
+        out[few] = squares(few, k)
+    return np.where((step <= per - span) | (step == 0), np.maximum(np.sqrt(np.maximum(out, 0)), 1e-12), np.inf)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -224,21 +257,17 @@ def _spread(total: np.ndarray, terms: np.ndarray, step: np.ndarray, g: np.ndarra
 
 def products(h: np.ndarray, counts: np.ndarray, idf: np.ndarray, z: np.ndarray, total: np.ndarray) -> None:
     """Add to ``total`` the texts' ``A.T @ (A @ z)`` without the last factor, the term's idf; A has a unit row for each window."""
-    start, per = _steps(counts)
+    start, doc, step, per = _layout(counts)
     if not len(start):
         return
-    doc = np.repeat(np.arange(len(counts)), per)
-    first = np.cumsum(per) - per
     size = np.minimum(np.cumsum(counts)[doc] - start, STEP)
-    squares = _squares(h, counts, idf)
-    ((_, y, of, at),) = passages(h, counts, idf[:, None] * z)
-    begin = first[of] + at
-    g = np.zeros((len(start), z.shape[1]), np.float32)
-    g[begin] = y / np.maximum(squares[begin], 1e-12)[:, None].astype(np.float32)
+    g = _windows(_step_sums(h, counts, idf[:, None] * z), step, per, SPAN)
+    scale = ((step <= per - SPAN) | (step == 0)) / np.maximum(_squares(h, counts, idf), 1e-12)
+    g *= scale.astype(np.float32)[:, None]
     whole = g.copy()
     for j in range(1, SPAN):  # a step is in the windows that begin at it or up to two before
-        same = np.flatnonzero(doc[j:] == doc[: len(doc) - j])
-        whole[same + j] += g[same]
+        g[(step == 0) & (per <= j)] = 0
+        whole[j:] += g[: max(len(g) - j, 0)]
     terms, ends = _terms(h), start + size
     for a in range(0, len(start), 2000):
         b = min(a + 2000, len(start))
@@ -316,6 +345,67 @@ def _masks(h: list[int]) -> dict[int, int]:
     return out
 
 
+def _near(h: np.ndarray, counts: np.ndarray, table: np.ndarray, latent: np.ndarray, n_short: int, cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each span, in portions: the span, windows' first steps, items and cosines of at least ``cosine``.
+
+    A window's product with an item is the sum of its steps' products.  The first ``n_short`` items have the short spans too.
+    """
+    _, _, step, per = _layout(counts)
+    sums = _step_sums(h, counts, table)
+    for span in (SPAN, *SHORT_SPANS) if n_short else (SPAN,):
+        items = latent if span == SPAN else latent[:n_short]
+        length = _lengths(sums, step, per, span)
+        rows = max(64, SIMILARITIES // max(len(items), 1))
+        found, n = [], 0
+        for a in range(0, len(step), rows):
+            own = slice(a, min(a + rows, len(step)))
+            near = _windows(sums[a : own.stop + SPAN - 1] @ items.T, step[own], per[own], span)
+            at, item = np.divmod(np.flatnonzero(near >= cosine * length[own, None]), max(len(items), 1))
+            found.append((a + at, item, near[at, item] / length[a + at]))
+            n += len(at)
+            if n > CANDIDATES or own.stop == len(step):
+                yield span, *(np.concatenate(x) for x in zip(*found))
+                found, n = [], 0
+
+
+class _Words:
+    """The items' different words, to count how much of an item is among the words of a stretch."""
+
+    def __init__(self, texts: list[list[int]]) -> None:
+        self.sizes = np.array([len(x) for x in texts], np.int64)
+        every = np.array([x for own in texts for x in own], np.uint64)
+        self.vocabulary, number = np.unique(every, return_inverse=True)
+        self.marks = np.zeros(1 << 20, bool)
+        self.marks[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
+        self.own = [np.unique(x, return_counts=True) for x in np.split(number, np.cumsum(self.sizes)[:-1])]
+
+    def shared(self, h: np.ndarray, begin: np.ndarray, end: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """How many of the item's words are among those of ``h`` from ``begin`` to ``end``, for each stretch and its item."""
+        out, none = np.zeros(len(items), np.int64), len(self.vocabulary)
+        if not none or not len(items):
+            return out
+        maybe = np.flatnonzero(self.marks[(h >> np.uint64(44)).astype(np.int64)])
+        found = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), none - 1)
+        number = np.full(len(h) + 1, none)
+        number[maybe] = np.where(self.vocabulary[found] == h[maybe], found, none)
+        place = np.zeros(none + 1, np.int64)
+        order = np.argsort(items, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(items[order])) + 1):
+            words, times = self.own[items[part[0]]]
+            place[words] = np.arange(1, len(words) + 1)
+            most = int((end[part] - begin[part]).max())
+            some = max(1, STRETCHES // (most + len(words) + 1))
+            for a in range(0, len(part), some):
+                rows = part[a : a + some]
+                at = begin[rows][:, None] + np.arange(most)
+                at = place[number[np.where(at < end[rows][:, None], at, len(h))]]
+                has = np.zeros((len(rows), len(words) + 1), bool)
+                has.reshape(-1)[(at + np.arange(len(rows))[:, None] * has.shape[1]).reshape(-1)] = True
+                out[rows] = (has[:, 1:] * times).sum(1)
+            place[words] = 0
+        return out
+
+
 def pairs(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, overlap: float = OVERLAP, answer: float = ANSWER, sure: float = SURE) -> DataFrame:
     """PAIR columns: the best passage of each document for each item it contains."""
     out, docs = None, docs.select("doc_id", "text")
@@ -344,6 +434,9 @@ def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[list[tuple[
 
 def _match(docs: DataFrame, items: list[tuple[int, str]], fold: np.ndarray, cosine: float, overlap: float, answer: float, sure: float, whole: bool = False) -> DataFrame:
     """PAIR rows; with ``whole`` the rows of ``docs`` without a match, as they are."""
+    n_words = _hashes(pa.array([t for _, t in items], pa.string()))[1]
+    items = [items[k] for k in np.argsort((n_words == 0) | (n_words > SHORT), kind="stable").tolist()]  # short ones first
+    n_short = int(((n_words > 0) & (n_words <= SHORT)).sum())
     h, counts = _hashes(pa.array([t for _, t in items], pa.string()))
     vectors = np.stack([fold[_terms(x)].sum(0) if len(x) else np.zeros(fold.shape[1], np.float32) for x in np.split(h, np.cumsum(counts)[:-1])])
     own = [x.tolist() for x in np.split(h, np.cumsum(counts)[:-1])]
@@ -354,42 +447,31 @@ def _match(docs: DataFrame, items: list[tuple[int, str]], fold: np.ndarray, cosi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, latent, texts, answers, table = shared.value
         masks = [(_masks(a), len(a), _masks(b), len(b)) for a, b in zip(texts, answers)]
-        every, short = np.arange(len(texts)), np.array([k for k, a in enumerate(texts) if 0 < len(a) <= SHORT], np.int64)
+        words_of = _Words(texts)
         for batch in slices(batches, "text", 3_000_000):
             h, counts = _hashes(texts_of(batch, "text"))
             first = np.cumsum(counts) - counts
             best: dict[tuple[int, int], tuple] = {}
-            for span, sums, doc, step in passages(h, counts, table, (SPAN, *SHORT_SPANS) if len(short) else (SPAN,)):
-                chosen = every if span == SPAN else short
-                rows = max(1, SIMILARITIES // max(len(chosen), 1))
-                for a in range(0, len(sums), rows):
-                    near = _unit(sums[a : a + rows]) @ latent[chosen].T
-                    before, seen, around = None, [], set()
-                    for w, c in zip(*(x.tolist() for x in np.nonzero(near >= cosine))):
-                        i = int(chosen[c])
-                        d = int(doc[a + w])
-                        m, size, m2, size2 = masks[i]
-                        if not size:
-                            continue
-                        # a step on either side; an item longer than a window gets as many words more
-                        more = max(0, size - span * STEP)
-                        if before != (w, more):
-                            before = (w, more)
-                            lo = max(0, (int(step[a + w]) - 1) * STEP)
-                            hi = min(int(counts[d]), (int(step[a + w]) + span + 1) * STEP + more)
-                            seen = h[first[d] + lo : first[d] + hi].tolist()
-                            around = set(seen)
-                        both = m.keys() & around
-                        if size - len(m) + len(both) < overlap * size or sum(m[x].bit_count() for x in both) < overlap * size:
-                            continue  # the subsequence can't be long enough
-                        share = common(m, size, seen) / size
-                        if share < overlap:
-                            continue
-                        told = common(m2, size2, seen) / size2 if size2 else 0.0
-                        if share < sure and told < answer:
-                            continue
-                        now = (share, told, -lo, float(near[w, c]))
-                        best[(d, i)] = max(best.get((d, i), now), now)
+            for span, at, chosen, near in _near(h, counts, table, latent, n_short, cosine):
+                _, doc, step, _ = _layout(counts)
+                d, s = doc[at], step[at]
+                # a step on either side; an item longer than a window gets as many words more
+                lo = np.maximum(0, (s - 1) * STEP)
+                hi = np.minimum(counts[d], (s + span + 1) * STEP + np.maximum(0, words_of.sizes[chosen] - span * STEP))
+                likely = words_of.shared(h, first[d] + lo, first[d] + hi, chosen) >= overlap * words_of.sizes[chosen]
+                likely &= words_of.sizes[chosen] > 0  # else the subsequence can't be long enough
+                for k in np.flatnonzero(likely).tolist():
+                    i, t, a = int(chosen[k]), int(d[k]), int(lo[k])
+                    m, size, m2, size2 = masks[i]
+                    seen = h[first[t] + a : first[t] + hi[k]].tolist()
+                    share = common(m, size, seen) / size
+                    if share < overlap:
+                        continue
+                    told = common(m2, size2, seen) / size2 if size2 else 0.0
+                    if share < sure and told < answer:
+                        continue
+                    now = (share, told, -a, float(near[k]))
+                    best[(t, i)] = max(best.get((t, i), now), now)
             if whole:
                 hit = np.ones(batch.num_rows, bool)
                 hit[[d for d, _ in best]] = False
