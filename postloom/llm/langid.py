@@ -4,7 +4,9 @@ Every word's label is a language; digits and signs at or in a word are left out.
 affixes and character n-grams (with marks at its ends) and of the word itself (the
 lexicon), all in one hashed table; transitions between languages are learned too.
 Training strings runs of words of different languages together, so that switching
-within a text is seen.  Forward-backward gives each word's marginals; a document's
+within a text is seen.  All documents outside the held-out fold are learned from: each task climbs by
+its own ones, dealt by a hash, and the tasks' weights are averaged, each by the squared
+gradients behind it.  Forward-backward gives each word's marginals; a document's
 language has the largest mean marginal over its words with letters.
 
 Forward-backward runs on all words of a batch as one chain that starts anew at each
@@ -19,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +33,12 @@ from pyspark.sql import functions as F
 
 from .base import bounded_batches, slices, texts_of, trim
 
-#: Documents that the field is fitted on, at most.
-FIT_ROWS = 2000
-#: Longer texts (in characters) are not learned from, so that the sample is bounded in bytes too.
-FIT_CHARS = 50_000
+#: Characters that a task learns from: as few as this before there are more tasks, and at most.
+LEAST_CHARS, MOST_CHARS = 5_000_000, 200_000_000
+#: A task with fewer characters goes through them again, up to four times.
+LEARNED_CHARS = 20_000_000
+#: Bytes that a task strings together at once, and parts in which it sends what it learned.
+CHUNK_BYTES, PARTS = 8_000_000, 32
 BITS = 17
 UND = "und"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -155,74 +160,126 @@ class Field:
         return p, T * np.einsum("ni,nj->ij", left / z[:, None], right), p[begins].sum(0)
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 4, batch_words: int = 40_000, rate: float = 0.3, seed: int = 7) -> Field | None:
+def blank(langs: list[str]) -> Field:
+    k = len(langs)
+    return Field(langs, np.zeros((1 << BITS, k)), np.zeros((k, k)) - np.log(k), np.zeros(k) - np.log(k))
+
+
+class Ascent:
     """Gradient ascent (Adagrad) on the likelihood of runs of 5 to 40 words, strung together."""
-    names = sorted(set(langs))
-    if not names:
-        return None
-    k, rng = len(names), np.random.default_rng(seed)
-    field = Field(names, np.zeros((1 << BITS, k)), np.zeros((k, k)) - np.log(k), np.zeros(k) - np.log(k))
-    runs: list[tuple[int, list[str]]] = []
-    known, numbers, doc = cores(pa.array(texts, pa.string()))
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    for k_doc, lang in enumerate(langs):
-        words, at = [known[i] for i in numbers[bounds[k_doc] : bounds[k_doc + 1]].tolist()], 0
-        while at < len(words):
-            n = int(rng.integers(5, 41))
-            runs.append((names.index(lang), words[at : at + n]))
-            at += n
-    if not runs:
-        return None
-    sq_w, sq_t, sq_f = np.full(field.weights.shape, 1e-6), np.full((k, k), 1e-6), np.full(k, 1e-6)
-    for _ in range(epochs):
-        order, at = rng.permutation(len(runs)), 0
-        while at < len(order):
-            words: list[str] = []
-            labels: list[int] = []
-            begins: list[bool] = []
-            while at < len(order) and len(words) < batch_words:
-                lang, run = runs[order[at]]
-                begins += [at % 6 == 0 or not words, *[False] * (len(run) - 1)]
-                words += run
-                labels += [lang] * len(run)
-                at += 1
-            index: dict[str, int] = {}
-            own = np.array([index.setdefault(w, len(index)) for w in words])
-            y, starts = np.array(labels), np.array(begins)
-            slots, owner = features(list(index))
-            used, slot = np.unique(slots, return_inverse=True)
-            table = np.stack([np.bincount(owner, field.weights[slots, j], len(index)) for j in range(k)], 1)
-            p, moved, begun = field.marginals(table[own], starts, pairs=True)
-            miss = np.eye(k)[y] - p
-            per_word = np.stack([np.bincount(own, miss[:, j], len(index)) for j in range(k)], 1)
-            g = np.stack([np.bincount(slot, per_word[owner, j], len(used)) for j in range(k)], 1) / 50 - 0.002 * field.weights[used]
-            sq_w[used] += g**2
-            field.weights[used] += rate * g / np.sqrt(sq_w[used])
-            seen = np.zeros((k, k))
-            np.add.at(seen, (y[:-1][~starts[1:]], y[1:][~starts[1:]]), 1)
-            for value, grad, sq in ((field.transitions, (seen - moved) / len(words), sq_t), (field.first, (np.bincount(y[starts], minlength=k) - begun) / len(words), sq_f)):
-                sq += grad**2
-                value += rate * grad / np.sqrt(sq)
-            field.transitions -= np.log(np.exp(field.transitions).sum(1, keepdims=True))
-            field.first -= np.log(np.exp(field.first).sum())
-    field.weights = field.weights.astype(np.float32)
-    return field
+
+    def __init__(self, langs: list[str], batch_words: int = 40_000, rate: float = 0.3, seed: int = 7) -> None:
+        self.field, self.batch_words, self.rate, self.rng = blank(langs), batch_words, rate, np.random.default_rng(seed)
+        self.squares = [np.full(x.shape, 1e-6) for x in (self.field.weights, self.field.transitions, self.field.first)]
+        self.number = {x: i for i, x in enumerate(langs)}
+        self.words = 0
+
+    def learn(self, texts: pa.Array, langs: list[str], epochs: int) -> None:
+        known, numbers, doc = cores(texts)
+        n = len(numbers)
+        if not n:
+            return
+        self.words += n
+        cuts = np.cumsum(self.rng.integers(5, 41, n // 5 + 1))
+        start = np.union1d(cuts[cuts < n], np.flatnonzero(np.diff(doc, prepend=-1)))
+        size = np.diff(np.append(start, n))
+        label = np.array([self.number[x] for x in langs])[doc[start]]
+        slots, owner = features(known)
+        slots = slots[np.argsort(owner, kind="stable")]
+        per = np.bincount(owner, minlength=len(known))
+        for _ in range(epochs):
+            order = self.rng.permutation(len(start))
+            whole = np.cumsum(size[order]) // self.batch_words
+            for runs in np.split(order, np.flatnonzero(np.diff(whole)) + 1):
+                self._step(numbers[_ranges(start[runs], size[runs])], size[runs], label[runs], slots, per)
+
+    def _step(self, words: np.ndarray, size: np.ndarray, label: np.ndarray, slots: np.ndarray, per: np.ndarray) -> None:
+        field, k = self.field, len(self.field.langs)
+        y, starts = np.repeat(label, size), np.zeros(len(words), bool)
+        starts[(np.cumsum(size) - size)[::6]] = True
+        index = np.flatnonzero(np.bincount(words, minlength=len(per)))
+        own = np.zeros(len(per), np.int64)
+        own[index] = np.arange(len(index))
+        own = own[words]
+        n = per[index]
+        slot = slots[_ranges((np.cumsum(per) - per)[index], n)]
+        table = np.add.reduceat(field.weights[slot], np.cumsum(n) - n, axis=0)
+        p, moved, begun = field.marginals(table[own], starts, pairs=True)
+        miss = -p
+        miss[np.arange(len(y)), y] += 1
+        used = np.flatnonzero(np.bincount(slot, minlength=1 << BITS))
+        g = [np.bincount(slot, np.repeat(np.bincount(own, miss[:, j], len(index)), n), 1 << BITS)[used] for j in range(k)]
+        g = np.stack(g, 1) / 50 - 0.002 * field.weights[used]
+        sq_w, sq_t, sq_f = self.squares
+        sq_w[used] += g**2
+        field.weights[used] += self.rate * g / np.sqrt(sq_w[used])
+        go = ~starts[1:]
+        seen = np.bincount(y[:-1][go] * k + y[1:][go], minlength=k * k).reshape(k, k)
+        for value, grad, sq in ((field.transitions, (seen - moved) / len(words), sq_t), (field.first, (np.bincount(y[starts], minlength=k) - begun) / len(words), sq_f)):
+            sq += grad**2
+            value += self.rate * grad / np.sqrt(sq)
+        field.transitions -= np.log(np.exp(field.transitions).sum(1, keepdims=True))
+        field.first -= np.log(np.exp(field.first).sum())
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Field | None:
-    """A field from at most ``fit_rows`` whole documents outside the held-out fold, picked by a hash of their id."""
-    key = F.xxhash64(F.col("doc_id"))
-    rows = docs.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("lang").isNotNull() & (F.length("text") <= FIT_CHARS))
-    last = rows.select(key.alias("key")).orderBy("key").limit(fit_rows).agg(F.max("key")).first()[0]
-    if last is None:
+def train(docs: DataFrame) -> Field | None:
+    """A field from all whole documents outside the held-out fold, each task's by its own documents, and the mean of these."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = docs.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    langs, chars = rows.agg(F.collect_set("lang"), F.sum(F.length("text").cast("long"))).first()
+    if not langs:
+        return None
+    langs = sorted(langs)
+    tasks = max(1, chars // MOST_CHARS, min(2 * spark.sparkContext.defaultParallelism, chars // LEAST_CHARS))
+    epochs = min(4, -(-LEARNED_CHARS // max(chars // tasks, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ascent, waiting, size, first = Ascent(langs), [], 0, None
+        for batch in itertools.chain(slices(batches, "text"), [None]):
+            if waiting and (batch is None or size + batch.nbytes > CHUNK_BYTES):
+                ascent.learn(pa.concat_arrays([texts_of(x, "text") for x in waiting]), [v for x in waiting for v in x["lang"].to_pylist()], epochs)
+                waiting, size = [], 0
+            if batch is not None:
+                first = batch["key"][0].as_py() if first is None else first
+                waiting.append(batch)
+                size += batch.nbytes
+        if not ascent.words:
+            return
+        field, seen = ascent.field, np.float32(ascent.words)
+        sent = [*zip(np.array_split(field.weights, PARTS), np.array_split(ascent.squares[0], PARTS)), (np.concatenate([field.transitions, field.first[None]]), seen)]
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array(range(len(sent)), pa.int32()), "first": pa.array([first] * len(sent), pa.int64()),
+            "value": pa.array([v.astype(np.float32).tobytes() for v, _ in sent], pa.binary()), "weight": pa.array([w.astype(np.float32).tobytes() for _, w in sent], pa.binary()),
+        })
+
+    def mean(table: pa.Table) -> pa.Table:
+        total, weights = 0.0, 0.0
+        for v, w in (pair for _, *pair in sorted(zip(*(table.column(c).to_pylist() for c in ("first", "value", "weight"))))):
+            v, w = (np.frombuffer(x, np.float32).astype(float) for x in (v, w))
+            total, weights = total + v * w, weights + w
+        return pa.table({"part": table.column("part").slice(0, 1), "value": pa.array([(total / weights).astype(np.float32).tobytes()], pa.binary())})
+
+    # dealt and ordered by a hash: no task has the documents of one place in the table alone, and a fit can be repeated
+    key = F.xxhash64("doc_id", "lang", "text")
+    dealt = rows.select("text", "lang", key.alias("key")).repartition(tasks, "key").sortWithinPartitions("key", "text").coalesce(tasks)
+    sent = dealt.mapInArrow(run, "part int, first long, value binary, weight binary").groupBy("part")
+    got = sorted(sent.applyInArrow(mean, "part int, value binary").collect(), key=lambda r: r["part"])
+    if not got:
         return None
-    got = rows.where(key <= last).orderBy(key, "doc_id").limit(fit_rows).select("text", "lang").collect()
-    field = fit([r[0] for r in got], [r[1] for r in got])
-    del got
+    *weights, small = (np.frombuffer(r["value"], np.float32) for r in got)
+    small = small.reshape(-1, len(langs)).astype(float)
+    small -= np.log(np.exp(small).sum(1, keepdims=True))
+    field = Field(langs, np.concatenate(weights).reshape(-1, len(langs)), small[:-1], small[-1])
     trim()
     return field
 
