@@ -62,6 +62,11 @@ def release(*frames: DataFrame) -> None:
 def trim() -> None:
     """Give back what the driver's Python holds but doesn't use after a fit."""
     gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a worker lives on, and what it holds counts beside the next stage."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -74,7 +79,11 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches of at least one row and about ``limit`` bytes in ``column``, whole rows only."""
+    """Batches of at least one row and about ``limit`` bytes in ``column``, whole rows only.
+
+    What the worker's last task has freed is given back before the first, what this one has after the last.
+    """
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -86,6 +95,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 at, total = k, 0
             total += n
         yield batch.slice(at)
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:

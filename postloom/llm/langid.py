@@ -31,7 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, slices, texts_of, trim
+from .base import bounded_batches, give_back, slices, texts_of, trim
+from .tok import forget
 
 #: Characters that a task learns from: as few as this before there are more tasks, and at most.
 LEAST_CHARS, MOST_CHARS = 5_000_000, 200_000_000
@@ -39,6 +40,8 @@ LEAST_CHARS, MOST_CHARS = 5_000_000, 200_000_000
 LEARNED_CHARS = 20_000_000
 #: Bytes that a task strings together at once, and parts in which it sends what it learned.
 CHUNK_BYTES, PARTS = 8_000_000, 32
+#: Different words whose features are made at once, and text bytes whose words are judged at once.
+FEATURE_WORDS, JUDGED_BYTES = 50_000, 1_500_000
 BITS = 17
 UND = "und"
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -81,6 +84,17 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(slots), np.concatenate(owner)
 
 
+def by_word(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The slots word by word, and how many each word has, made of so many words at once."""
+    slots, per = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(words), FEATURE_WORDS):
+        part = words[k : k + FEATURE_WORDS]
+        found, owner = features(part)
+        slots.append(found[np.argsort(owner, kind="stable")])
+        per.append(np.bincount(owner, minlength=len(part)))
+    return np.concatenate(slots), np.concatenate(per)
+
+
 def cores(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Different words (lower case, letters only), and for each word with letters its number and its text's."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
@@ -102,8 +116,8 @@ class Field:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)))
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
+        for k in range(0, len(words), FEATURE_WORDS):
+            part = words[k : k + FEATURE_WORDS]
             slots, owner = features(part)
             for j in range(len(self.langs)):
                 out[k : k + len(part), j] = np.bincount(owner, self.weights[slots, j], len(part))
@@ -114,9 +128,9 @@ class Field:
         n, k = e.shape
         lanes = max(1, min(1024, n // 64))
         steps = -(-n // lanes)
-        scale = np.exp(e - e.max(1, keepdims=True))
         x = np.ones((lanes * steps, k))
-        x[:n] = scale
+        np.subtract(e, e.max(1, keepdims=True), out=x[:n])
+        np.exp(x[:n], out=x[:n])
         new = np.ones(lanes * steps, bool)
         new[:n] = begins
         x, new = x.reshape(lanes, steps, k).transpose(1, 0, 2), new.reshape(lanes, steps).T
@@ -138,9 +152,10 @@ class Field:
             b[i] = now
             now = total[i] @ now
             now /= now.sum()
-        before, alpha, beta = np.empty((steps, lanes, k)), np.empty((steps, lanes, k)), np.empty((steps, lanes, k))
+        before, alpha, beta = np.empty((steps if pairs else 0, lanes, k)), np.empty((steps, lanes, k)), np.empty((steps, lanes, k))
         for t in range(steps):
-            before[t] = a
+            if pairs:
+                before[t] = a
             a = np.where(new[t][:, None], P, a @ T) * x[t]
             a /= a.sum(1, keepdims=True)
             alpha[t] = a
@@ -150,7 +165,8 @@ class Field:
             b = np.where(new[t][:, None], (y * P).sum(1, keepdims=True), y @ T.T)
             b = b / b.sum(1, keepdims=True)
         flat = lambda z: z.transpose(1, 0, 2).reshape(-1, k)[:n]
-        p = flat(alpha * beta)
+        alpha *= beta
+        p = flat(alpha)
         p = p / p.sum(1, keepdims=True)
         if not pairs:
             return p
@@ -184,9 +200,7 @@ class Ascent:
         start = np.union1d(cuts[cuts < n], np.flatnonzero(np.diff(doc, prepend=-1)))
         size = np.diff(np.append(start, n))
         label = np.array([self.number[x] for x in langs])[doc[start]]
-        slots, owner = features(known)
-        slots = slots[np.argsort(owner, kind="stable")]
-        per = np.bincount(owner, minlength=len(known))
+        slots, per = by_word(known)
         for _ in range(epochs):
             order = self.rng.permutation(len(start))
             whole = np.cumsum(size[order]) // self.batch_words
@@ -244,11 +258,13 @@ def train(docs: DataFrame) -> Field | None:
     epochs = min(4, -(-LEARNED_CHARS // max(chars // tasks, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         ascent, waiting, size, first = Ascent(langs), [], 0, None
         for batch in itertools.chain(slices(batches, "text"), [None]):
             if waiting and (batch is None or size + batch.nbytes > CHUNK_BYTES):
                 ascent.learn(pa.concat_arrays([texts_of(x, "text") for x in waiting]), [v for x in waiting for v in x["lang"].to_pylist()], epochs)
                 waiting, size = [], 0
+                give_back()
             if batch is not None:
                 first = batch["key"][0].as_py() if first is None else first
                 waiting.append(batch)
@@ -300,8 +316,9 @@ def _predicted(docs: DataFrame, field: Field | None, whole: bool, least: float =
     shared = spark.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = shared.value
-        for batch in slices(batches, "text", 3_000_000):
+        for batch in slices(batches, "text", JUDGED_BYTES):
             n = batch.num_rows
             texts = texts_of(batch, "text")
             words, at, doc = cores(texts)

@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, en
             doc_ids = pa.concat_arrays(names)
             ids, counts, names = [], [], []
             first = np.cumsum(sizes) - sizes
-            raw = all_ids.astype("<u4").tobytes()
+            raw = memoryview(all_ids.astype("<u4", copy=False)).cast("B")
             doc, start, length, crc, seq, offset = [], [], [], [], [], []
             for pieces in pack_block(sizes, capacity):
                 at = 0
@@ -164,8 +164,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, en
                 "offset": pa.array(offset, pa.int64()),
             }
             if with_ids:
-                at = [first[d] + s for d, s in zip(doc, start)]
-                out["input_ids"] = pa.array([all_ids[a : a + n].astype(np.int32) for a, n in zip(at, length)], pa.list_(pa.int32()))
+                values = np.concatenate([all_ids[a : a + n] for a, n in zip((first[doc] + start).tolist(), length)]).view(np.int32)
+                out["input_ids"] = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(values))
             batch = pa.RecordBatch.from_pydict(out)
             for k in range(0, batch.num_rows, 5000):
                 yield batch.slice(k, 5000)
